@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The source has no streaming step (no watermark, window, state or late data):
+every flow is a batch over a dated purchase table. The batch operators are plain
+DataFrame transformations, so they also run on a ``readStream`` source wherever
+Structured Streaming supports the operation, but no streaming operator is built.
+"""
