@@ -84,4 +84,4 @@ def with_target(features: DataFrame) -> DataFrame:
         S.CUSTOMER, "Freq_purchase", "avg_imputed_contribution_margin", "AVERAGE_TIME_TO_PURCHASE",
         "avg_vehicle_age", "lease_purchase_flag",
         F.col("Latest_CM_purchase_year").cast("int").alias("Latest_CM_purchase_year"),
-        F.col("Latest_CM").cast("float").alias("Latest_CM"))
+        F.col("Latest_CM").cast("double").cast("float").alias("Latest_CM"))
