@@ -2,9 +2,12 @@
 
 Plan: the medians are one ``percentile_approx`` aggregate per (model, year). It is
 a partial (map-side) aggregate, so a model-year holding a third of all rows is
-reduced to one sketch per map task before the shuffle. The median table is small
-and its size is checked before it is broadcast to the zero rows, so the big side
-is never shuffled on the (possibly hot) model-year key.
+reduced to one sketch per map task before the shuffle. The median table is then
+size-checked and broadcast, and the extract is read **once**: every row with a
+known or zero margin probes the medians, zero rows take the median (or vanish
+when their group has none), non-zero rows pass through. This equals the source's
+"non-zero rows UNION ALL (zero rows JOIN medians)" without a second scan, and
+the big side is never shuffled on the (possibly hot) model-year key.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .clean import nonzero_records, zero_records
+from .clean import clean_ownership, nonzero_records, retail_only
 from .joins import DEFAULT_BROADCAST_ROWS, join_checked
 
 MEDIAN_KEYS = (S.MODEL, S.YEAR)
@@ -31,14 +34,19 @@ def impute_zero_margin(extract: DataFrame, retail: bool = False, keys=MEDIAN_KEY
                        medians_from: DataFrame | None = None,
                        max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Replace zero margins with the median of the non-zero margins of the same
-    (model, acquisition year); zero rows without such a group are dropped.
+    (model, acquisition year); zero rows without such a group are dropped, rows
+    with a NULL margin are in neither set and dropped too.
 
     ``medians_from`` lets the medians be fitted on other rows (e.g. the training
-    side only); by default they come from all non-zero rows of ``extract``.
+    side of a split, an extract of the same shape); by default they come from
+    the non-zero rows of ``extract`` itself.
     """
-    nonzero = nonzero_records(extract, retail)
-    zero = zero_records(extract, retail)
-    medians = group_median(medians_from if medians_from is not None else nonzero, keys)
-    imputed = (join_checked(zero, medians, list(keys), "inner", max_broadcast_rows)
-               .drop("contribution_margin_0"))
-    return nonzero.unionByName(imputed.select(*nonzero.columns))
+    source = retail_only(extract) if retail else extract
+    rows = clean_ownership(source.where(F.col(S.MARGIN).isNotNull()))
+    fit_on = nonzero_records(medians_from, retail) if medians_from is not None else rows.where(F.col(S.MARGIN) != 0)
+    medians = group_median(fit_on, keys).withColumnRenamed(S.MARGIN, "_median")
+    joined = join_checked(rows, medians, list(keys), "left", max_broadcast_rows)
+    m = F.col(S.MARGIN)
+    return (joined.where((m != 0) | F.col("_median").isNotNull())
+            .withColumn(S.MARGIN, F.when(m == 0, F.col("_median")).otherwise(m))
+            .select(*rows.columns))

@@ -40,7 +40,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.12g}")
+        return repr(v) if os.environ.get("EXACT_FLOATS") else float(f"{v:.12g}")
     if isinstance(v, decimal.Decimal):
         return format(v.normalize(), "f") if v == v.to_integral() else str(v.normalize())
     if isinstance(v, (dt.datetime, dt.date)):
