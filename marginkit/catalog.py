@@ -20,7 +20,7 @@ from .operators import history as H
 from .operators.clean import nonzero_records, zero_records
 from .operators.features import feature_columns
 from .operators.impute import group_median
-from .operators.quality import profile_stages, summary_stats, value_counts
+from .operators.quality import summary_stats, value_counts
 from .operators.score import fit_margin_model, score_margin
 from .operators.split import rest_after, split_parts, split_side
 from .session import ensure_checkpoint_dir, scratch_path
@@ -53,11 +53,11 @@ def _train_rows(spark, d):
 
 
 def _ranked_multi(spark, d):
-    return H.multi_purchase(H.rank_newest(_train_rows(spark, d)))
+    return H.multi_purchase(_train_rows(spark, d))
 
 
 def _prior(spark, d):
-    return H.prior_rows(_ranked_multi(spark, d))
+    return H.prior_rows(_train_rows(spark, d))
 
 
 def _train_profile(spark, d, with_lifestage=False):
@@ -143,7 +143,7 @@ def queries() -> dict[str, Query]:
         "row_number_desc": lambda s, d: H.rank_newest(_train_rows(s, d)),
         "multi_purchase": _ranked_multi,
         "prior_transactions": _prior,
-        "purchase_gaps": lambda s, d: H.purchase_gaps(_prior(s, d)),
+        "purchase_gaps": lambda s, d: H.purchase_gaps(_train_rows(s, d)),
         "target_latest": lambda s, d: _train_profile(s, d).select(
             S.CUSTOMER, F.col("Latest_CM_purchase_year").cast("int").alias("Latest_CM_purchase_year"), "Latest_CM"),
         # features (one aggregation)
@@ -181,9 +181,7 @@ def queries() -> dict[str, Query]:
         "split_parts": lambda s, d: split_parts(_scoring_us(s, d), 3).select(S.CUSTOMER, "part"),
         "left_anti_rest": lambda s, d: rest_after(
             _scoring_us(s, d), split_parts(_scoring_us(s, d), 3).where(F.col("part") == 1)),
-        "quality_profile": lambda s, d: profile_stages({
-            "extract": _extract(s, d), "nonzero": nonzero_records(_extract(s, d)), "imputed": _imputed(s, d),
-            "oot_train": _train_rows(s, d), "oot_test": plans.side_rows(_live(s, d), US, "test")}),
+        "quality_profile": lambda s, d: plans.training_quality_profile(_live(s, d), US),
         "value_counts": lambda s, d: value_counts(plans.training_table(_live(s, d)),
                                                   ["Freq_purchase", "lease_purchase_flag", "AVERAGE_TIME_TO_PURCHASE"]),
         "summary_stats": lambda s, d: summary_stats(_scoring_us(s, d),

@@ -9,7 +9,7 @@ from .clean import (  # noqa: F401
 from .evaluate import smape  # noqa: F401
 from .features import customer_summary, feature_columns, model_features, with_target  # noqa: F401
 from .history import (  # noqa: F401
-    anchor_days, day_summary, first_new_or_later, first_outcome, history_profile, latest_and_prior,
+    anchor_days, day_summary, first_new_or_later, first_outcome, history_profile, history_rows, latest_and_prior,
     multi_purchase, new_anchor, prior_rows, prior_stats, purchase_gaps, rank_newest,
 )
 from .impute import group_median, impute_zero_margin  # noqa: F401

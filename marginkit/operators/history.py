@@ -165,13 +165,39 @@ def _join_days(rows: DataFrame, days: DataFrame, how: str = "inner") -> DataFram
     return rows.join(d, cond, how).drop("_c", "_d")
 
 
+def history_rows(rows: DataFrame) -> DataFrame:
+    """Every row annotated with the source's window results, in one pass:
+    ``grp`` (W1), ``_anchored`` (F10), ``ROW_numbering`` (W2, anchored rows),
+    ``no_of_purc`` (J3: the customer's dated anchored purchases), plus what W4
+    needs (``_newer``: the next newer day, ``_wd``: rank inside the day).
+
+    One day-grain aggregate, one bounded window over days (all frames share
+    one partitioning and order), one join back on (customer, day).
+    """
+    days = rows.groupBy(*DAY_KEYS).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(S.DATE).alias("n_dated"),
+        F.sum(indicator(F.col(S.CYCLE) == S.NEW_VEHICLE_CYCLE)).alias("n_new"))
+    w = _newest_days()
+    anchored = F.col("grp") >= 1
+    # Anchored days are a suffix of a customer's days in newest-first order, so a
+    # running sum over the anchored days before a day counts its newer rows.
+    days = (days.withColumn("grp", F.sum("n_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("_anchored", anchored)
+            .withColumn("rows_before", F.coalesce(F.sum(F.when(anchored, F.col("n_rows"))).over(
+                w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("no_of_purc", F.coalesce(F.sum(F.when(anchored, F.col("n_dated"))).over(
+                w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0)))
+            .withColumn("_newer", F.lag(S.DATE).over(w)))
+    joined = _join_days(rows, days.select(*DAY_KEYS, "grp", "_anchored", "rows_before", "no_of_purc", "_newer"))
+    in_day = Window.partitionBy(*DAY_KEYS).orderBy(*[F.col(c).asc_nulls_first() for c in ROW_FIELDS])
+    return (joined.withColumn("_wd", F.row_number().over(in_day))
+            .withColumn("ROW_numbering", F.when(F.col("_anchored"), F.col("rows_before") + F.col("_wd")).cast("int")))
+
+
 def new_anchor(rows: DataFrame) -> DataFrame:
     """Every row with ``grp``, the number of new-vehicle purchases of the
     customer on or after the row's day (same-day purchases are peers)."""
-    days = rows.groupBy(*DAY_KEYS).agg(F.sum(indicator(F.col(S.CYCLE) == S.NEW_VEHICLE_CYCLE)).alias("n_new"))
-    grp = days.withColumn("grp", F.sum("n_new").over(
-        _newest_days().rowsBetween(Window.unboundedPreceding, 0))).drop("n_new")
-    return _join_days(rows, grp)
+    return history_rows(rows).select(*rows.columns, "grp")
 
 
 def first_new_or_later(rows: DataFrame) -> DataFrame:
@@ -180,60 +206,38 @@ def first_new_or_later(rows: DataFrame) -> DataFrame:
     return new_anchor(rows).where(F.col("grp") >= 1)
 
 
-def rank_newest(rows: DataFrame, anchored: bool = True) -> DataFrame:
-    """Anchored rows numbered newest first (``ROW_numbering``), ties by vin.
+def rank_newest(rows: DataFrame) -> DataFrame:
+    """Anchored rows numbered newest first (``ROW_numbering``), ties by vin:
+    the count of anchored rows on newer days plus the rank inside the day."""
+    return history_rows(rows).where(F.col("_anchored")).select(*rows.columns, "ROW_numbering")
 
-    The number is the count of rows on newer days (a running sum over the
-    bounded day frame) plus the rank inside the day.
-    """
-    days = rows.groupBy(*DAY_KEYS).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(indicator(F.col(S.CYCLE) == S.NEW_VEHICLE_CYCLE)).alias("n_new"))
-    if anchored:
-        days = anchor_days(days)
-    else:
-        days = days.withColumn("rows_before", F.coalesce(F.sum("n_rows").over(
-            _newest_days().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    days = days.select(*DAY_KEYS, "rows_before")
-    joined = _join_days(rows, days)
-    in_day = Window.partitionBy(*DAY_KEYS).orderBy(*[F.col(c).asc_nulls_first() for c in ROW_FIELDS])
-    return (joined.withColumn("ROW_numbering", (F.col("rows_before") + F.row_number().over(in_day)).cast("int"))
-            .drop("rows_before"))
 
+def _multi(rows: DataFrame) -> DataFrame:
+    return history_rows(rows).where(F.col("_anchored") & (F.col("no_of_purc") > 1))
 
-def multi_purchase(ranked: DataFrame) -> DataFrame:
-    """F9 + J3: rows of customers with more than one dated purchase.
 
-    The count is a per-customer aggregate joined back; the join key is the
-    customer alone, and AQE splits a hot customer's partition.
-    """
-    counts = (ranked.groupBy(S.CUSTOMER).agg(F.count(S.DATE).alias("no_of_purc"))
-              .where(F.col("no_of_purc") > 1).select(S.CUSTOMER))
-    return ranked.join(counts, S.CUSTOMER, "left_semi")
+def multi_purchase(rows: DataFrame) -> DataFrame:
+    """F9 + J3: ranked rows of customers with more than one dated anchored
+    purchase (the count comes from the day frame; no self-join)."""
+    return _multi(rows).select(*rows.columns, "ROW_numbering")
 
 
-def prior_rows(ranked_multi: DataFrame) -> DataFrame:
-    """all but the latest purchase (``ROW_numbering != 1``)."""
-    return ranked_multi.where(F.col("ROW_numbering") != 1)
+def prior_rows(rows: DataFrame) -> DataFrame:
+    """all but the latest purchase (``ROW_numbering != 1``) of those customers."""
+    return multi_purchase(rows).where(F.col("ROW_numbering") != 1)
 
 
-def purchase_gaps(prior: DataFrame) -> DataFrame:
-    """Per row, years to the next newer purchase of the same customer
-    (``moving_diff``; NULL for the newest). Gap days come from the bounded day
-    frame: the first row of a day (lowest vin) carries the gap to the newer day,
-    the other rows of that day a gap of 0.
+def purchase_gaps(rows: DataFrame) -> DataFrame:
+    """Per prior row, years to the next newer prior purchase of the customer
+    (``moving_diff``; NULL for the newest prior row). The first row of a day
+    (lowest vin) carries the gap to the newer day, other rows of the day 0.
     """
-    days = prior.groupBy(*DAY_KEYS).agg(F.min(S.VIN).alias("_first_vin"))
-    days = days.withColumn("_newer", F.lag(S.DATE).over(_newest_days()))
-    joined = _join_days(prior, days)
-    is_first = F.col(S.VIN) == F.col("_first_vin")
-    newest_day = F.col("_newer").isNull() & F.col(S.DATE).isNotNull()
-    gap_days = (F.when(F.col(S.DATE).isNull(), F.lit(None))
-                .when(is_first & newest_day, F.lit(None))
-                .when(is_first, F.datediff(F.col("_newer"), F.col(S.DATE)))
+    prior = _multi(rows).where(F.col("ROW_numbering") != 1)
+    gap_days = (F.when(F.col(S.DATE).isNull() | (F.col("ROW_numbering") == 2), F.lit(None))
+                .when(F.col("_wd") == 1, F.datediff(F.col("_newer"), F.col(S.DATE)))
                 .otherwise(F.lit(0)))
-    return joined.select(S.CUSTOMER, S.VIN, S.DATE, "ROW_numbering",
-                         (gap_days.cast("double") / 365.0).alias("moving_diff"))
+    return prior.select(S.CUSTOMER, S.VIN, S.DATE, "ROW_numbering",
+                        (gap_days.cast("double") / 365.0).alias("moving_diff"))
 
 
 def first_outcome(outcome: DataFrame) -> DataFrame:

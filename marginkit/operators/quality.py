@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -36,6 +36,34 @@ def profile_stages(stages: dict[str, DataFrame], margin: str | None = S.MARGIN)
     return reduce(DataFrame.unionByName, [quality_profile(df, name, margin) for name, df in stages.items()])
 
 
+def profile_flags(df: DataFrame, stages: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """A12 for several stages of one flow in a single scan.
+
+    ``stages`` maps a stage name to (membership condition, margin column). Rows
+    are first reduced per customer (partial aggregation absorbs a hot customer),
+    then summed: distinct customers are the customers with a non-zero count, so
+    no ``countDistinct`` (and no row expansion per stage) is needed.
+    """
+    per_customer = []
+    for i, (cond, margin) in enumerate(stages.values()):
+        per_customer += [F.count_if(cond).alias(f"r{i}"),
+                         F.count_if(cond & margin.isNull()).alias(f"n{i}"),
+                         F.count_if(cond & (margin == 0)).alias(f"z{i}")]
+    pc = df.groupBy(S.CUSTOMER).agg(*per_customer)
+    known = F.col(S.CUSTOMER).isNotNull()
+    totals = []
+    for i in range(len(stages)):
+        totals += [F.sum(f"r{i}").alias(f"r{i}"), F.count_if(known & (F.col(f"r{i}") > 0)).alias(f"c{i}"),
+                   F.sum(f"n{i}").alias(f"n{i}"), F.sum(f"z{i}").alias(f"z{i}")]
+    wide = pc.agg(*totals)
+    rows = [F.struct(F.lit(name).alias("stage"), F.coalesce(F.col(f"r{i}"), F.lit(0)).cast("long").alias("n_rows"),
+                     F.col(f"c{i}").cast("long").alias("n_customers"),
+                     F.coalesce(F.col(f"n{i}"), F.lit(0)).cast("long").alias("n_null_margin"),
+                     F.coalesce(F.col(f"z{i}"), F.lit(0)).cast("long").alias("n_zero_margin"))
+            for i, name in enumerate(stages)]
+    return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+
+
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, count) for each listed column, from one shuffle:
     the columns are unpivoted and counted together (partial aggregation)."""

@@ -3,5 +3,5 @@
 from .flows import (  # noqa: F401
     baseline_audit, baseline_cohort, baseline_match, baseline_predictions, features_all_customers,
     imputed_training_rows, outcome_first, scoring_features, scoring_rows, side_features, side_rows,
-    smape_compare, training_table,
+    smape_compare, training_quality_profile, training_table,
 )

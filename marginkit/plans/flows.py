@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.columns import hash_bucket
 from ..operators.baseline import (
     baseline_imputed, baseline_margin, cohort_match, match_back, recent_mean, unmatched_margin_audit,
 )
-from ..operators.clean import time_cut
+from ..operators.clean import clean_ownership, time_cut
 from ..operators.evaluate import smape
 from ..operators.features import customer_summary, feature_columns, model_features, with_target
 from ..operators.history import first_outcome, history_profile
-from ..operators.impute import impute_zero_margin
-from ..operators.split import split_side
+from ..operators.impute import group_median, impute_zero_margin
+from ..operators.joins import join_checked
+from ..operators.quality import profile_flags
+from ..operators.split import TRAIN_PERCENT, split_side
 from ..sources.extract import extract_outcome, extract_ownership, extract_snapshot
 
 
@@ -36,6 +39,26 @@ def side_rows(live: DataFrame, flow: S.Flow, side: str, imputed: DataFrame | Non
     return time_cut(split_side(rows, side), flow.calendar.cut, side)
 
 
+def training_quality_profile(live: DataFrame, flow: S.Flow = S.US_FLOW) -> DataFrame:
+    """A12 over the stages of C1 + R1 + F4 (extract, non-zero, imputed, both
+    sides of the split), from one scan of the extract."""
+    rows = clean_ownership(extract_ownership(live, flow.training_extract()))
+    m = F.col(S.MARGIN)
+    medians = group_median(rows.where(m != 0)).withColumnRenamed(S.MARGIN, "_median")
+    j = join_checked(rows, medians, [S.MODEL, S.YEAR], "left")
+    imputed_margin = F.when(m == 0, F.col("_median")).otherwise(m)
+    in_imputed = m.isNotNull() & ((m != 0) | F.col("_median").isNotNull())
+    train = hash_bucket(F.col(S.CUSTOMER), 100) < TRAIN_PERCENT
+    cut = F.lit(flow.calendar.cut)
+    return profile_flags(j, {
+        "extract": (F.lit(True), m),
+        "nonzero": (m != 0, m),
+        "imputed": (in_imputed, imputed_margin),
+        "oot_train": (in_imputed & train & (F.col(S.DATE) <= cut), imputed_margin),
+        "oot_test": (in_imputed & ~train & (F.col(S.DATE) > cut), imputed_margin),
+    })
+
+
 # --- C2 / C3 -----------------------------------------------------------------
 
 def side_features(live: DataFrame, flow: S.Flow, side: str, with_lifestage: bool = False) -> DataFrame:
