@@ -42,6 +42,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
+    if only == ["all"]:
+        from marginkit import catalog as _c
+        only = list(_c.queries())
 
     from marginkit import build_session, catalog
 

@@ -83,13 +83,12 @@ def _baseline_extract(spark, d):
 def _cohort(spark: SparkSession, d: str) -> DataFrame:
     """S7 + S8: the new model's scored customers written as headered CSV by the
     executors (to the shared checkpoint folder) and read back with a schema."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    from .jobs import COHORT_SCHEMA
     path = scratch_path(spark, "cohort-csv")
     write_table(_scoring_us(spark, d), path, "csv")
-    schema = "consumer_id BIGINT, Freq_purchase STRING, avg_imputed_contribution_margin DOUBLE, " \
-             "AVERAGE_TIME_TO_PURCHASE STRING, avg_vehicle_age DOUBLE, lease_purchase_flag STRING, " \
-             "Latest_CM DECIMAL(18,2)"
-    from pyspark.sql.types import _parse_datatype_string
-    return read_cohort_csv(spark, path, _parse_datatype_string(schema))
+    return read_cohort_csv(spark, path, _parse_datatype_string(COHORT_SCHEMA))
 
 
 def _sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:

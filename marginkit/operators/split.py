@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import hash_bucket
+from .joins import materialize
 
 TRAIN_PERCENT = 70
 
@@ -41,10 +42,15 @@ def order_key(key: str = S.CUSTOMER):
 
 
 def global_rank(df: DataFrame, key: str = S.CUSTOMER, partitions: int | None = None) -> DataFrame:
-    """1-based rank of every row in (md5 order, key) order, computed without a
-    single-partition window: range-partition, number rows inside each partition,
-    then add the row counts of all earlier partitions (a table of one row per
-    partition, which is what gets broadcast)."""
+    """1-based rank (``_rank``) of every row in (md5 order, key) order."""
+    return _rank_and_total(df, key, partitions)[0]
+
+
+def _rank_and_total(df: DataFrame, key: str, partitions: int | None):
+    """Ranks without a single-partition window over the rows: range-partition,
+    number rows inside each partition, then add the row counts of all earlier
+    partitions (a table of one row per partition, which is what is broadcast).
+    Also returns the total row count as a scalar-subquery column."""
     spark = df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (df.withColumn("_k", order_key(key))
@@ -54,12 +60,16 @@ def global_rank(df: DataFrame, key: str = S.CUSTOMER, partitions: int | None = N
                .withColumn("_mono", F.monotonically_increasing_id()))
     # monotonically_increasing_id = (partition index << 33) + position in partition
     ordered = ordered.withColumn("_local", F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33) + 1)
+    # Both the counts and the rows below must see the same range partitioning:
+    # materialize once (reliable checkpoint) rather than sample the bounds twice.
+    ordered = materialize(ordered)
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = ordered.join(F.broadcast(offsets.select("_pid", "_offset")), "_pid")
+    total = counts.agg(F.sum("_n").alias("n")).scalar()
     return ranked.withColumn("_rank", F.col("_offset") + F.col("_local")).drop(
-        "_k", "_pid", "_mono", "_local", "_offset")
+        "_k", "_pid", "_mono", "_local", "_offset"), total
 
 
 def split_parts(df: DataFrame, n_parts: int = 3, exact: bool = True, key: str = S.CUSTOMER) -> DataFrame:
@@ -71,8 +81,7 @@ def split_parts(df: DataFrame, n_parts: int = 3, exact: bool = True, key: str =
     """
     if not exact:
         return df.withColumn("part", (hash_bucket(F.col(key), n_parts) + 1).cast("int"))
-    ranked = global_rank(df, key)
-    total = df.select(F.count(F.lit(1)).alias("n")).scalar()
+    ranked, total = _rank_and_total(df, key, None)
     # Upper rank bound of part i: bound_i = bound_{i-1} + (n - bound_{i-1}) // (k - i + 1).
     bounds = []
     prev = F.lit(0).cast("long")

@@ -28,14 +28,26 @@ from ..sources.extract import extract_outcome, extract_ownership, extract_snapsh
 
 # --- C1 ----------------------------------------------------------------------
 
-def imputed_training_rows(live: DataFrame, flow: S.Flow) -> DataFrame:
-    """C1 on the training extract (medians over all rows before the split, as the source)."""
-    return impute_zero_margin(extract_ownership(live, flow.training_extract()))
+def imputed_training_rows(live: DataFrame, flow: S.Flow, fit_on: str = "all") -> DataFrame:
+    """C1 on the training extract.
+
+    ``fit_on='all'`` takes the medians over all rows before the split, as the
+    source does (the training side then sees test-period margins);
+    ``fit_on='train'`` fits them on the training side's rows only (train
+    customers, on or before the cut), which is leak-free.
+    """
+    ex = extract_ownership(live, flow.training_extract())
+    if fit_on == "all":
+        return impute_zero_margin(ex)
+    if fit_on == "train":
+        return impute_zero_margin(ex, medians_from=time_cut(split_side(ex, "train"), flow.calendar.cut, "train"))
+    raise ValueError("fit_on must be 'all' or 'train'")
 
 
-def side_rows(live: DataFrame, flow: S.Flow, side: str, imputed: DataFrame | None = None) -> DataFrame:
+def side_rows(live: DataFrame, flow: S.Flow, side: str, imputed: DataFrame | None = None,
+              fit_on: str = "all") -> DataFrame:
     """R1 + F4: rows of one side: train customers up to the cut, test customers after it."""
-    rows = imputed if imputed is not None else imputed_training_rows(live, flow)
+    rows = imputed if imputed is not None else imputed_training_rows(live, flow, fit_on)
     return time_cut(split_side(rows, side), flow.calendar.cut, side)
 
 
@@ -61,16 +73,18 @@ def training_quality_profile(live: DataFrame, flow: S.Flow = S.US_FLOW) -> DataF
 
 # --- C2 / C3 -----------------------------------------------------------------
 
-def side_features(live: DataFrame, flow: S.Flow, side: str, with_lifestage: bool = False) -> DataFrame:
+def side_features(live: DataFrame, flow: S.Flow, side: str, with_lifestage: bool = False,
+                  fit_on: str = "all") -> DataFrame:
     """Combined feature table of one side (J4a), prior purchases only."""
-    return feature_columns(history_profile(side_rows(live, flow, side), with_lifestage=with_lifestage))
+    rows = side_rows(live, flow, side, fit_on=fit_on)
+    return feature_columns(history_profile(rows, with_lifestage=with_lifestage))
 
 
-def training_table(live: DataFrame, flow: S.Flow = S.US_FLOW, side: str = "train") -> DataFrame:
+def training_table(live: DataFrame, flow: S.Flow = S.US_FLOW, side: str = "train", fit_on: str = "all") -> DataFrame:
     """C2 (``side='train'``) / C3 (``side='test'``): one row per customer with more
     than one anchored purchase: features of the prior purchases, target = margin
     and year of the latest one."""
-    return with_target(side_features(live, flow, side))
+    return with_target(side_features(live, flow, side, fit_on=fit_on))
 
 
 # --- C4 / C5 -----------------------------------------------------------------
