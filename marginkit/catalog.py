@@ -110,6 +110,16 @@ def _score_margin(spark: SparkSession, d: str) -> DataFrame:
     return score_margin(model, _scoring_us(spark, d))
 
 
+from .oracle import SQL_SURFACE  # noqa: E402  (the same view query text on both engines)
+
+
+def _sql_surface(spark: SparkSession, d: str) -> DataFrame:
+    """The flow's stages registered as views and queried with spark.sql."""
+    from .plans.views import register_flow_views
+    register_flow_views(spark, _live(spark, d), None, US, prefix="mk_")
+    return spark.sql(SQL_SURFACE.format(p="mk_"))
+
+
 def _columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*cols)
 
@@ -186,9 +196,16 @@ def queries() -> dict[str, Query]:
         "summary_stats": lambda s, d: summary_stats(_scoring_us(s, d),
                                                     ["avg_imputed_contribution_margin", "avg_vehicle_age", "Latest_CM"]),
         "sink_roundtrip": _sink_roundtrip,
+        "sql_surface": _sql_surface,
+        "sorted_output": lambda s, d: _sorted(plans.training_table(_live(s, d))),
         "score_margin": _score_margin,
     }
     return q
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    from .plans.views import sorted_output
+    return sorted_output(df, S.CUSTOMER)
+
+
 FLAGSHIP = "training_table"

@@ -3,5 +3,6 @@
 from .flows import (  # noqa: F401
     baseline_audit, baseline_cohort, baseline_match, baseline_predictions, features_all_customers,
     imputed_training_rows, outcome_first, scoring_features, scoring_rows, side_features, side_rows,
-    smape_compare, training_quality_profile, training_table,
+    smape_compare, training_quality_profile, training_table, training_table_from,
 )
+from .views import flow_views, register_flow_views, sorted_output  # noqa: F401,E402

@@ -87,6 +87,11 @@ def training_table(live: DataFrame, flow: S.Flow = S.US_FLOW, side: str = "train
     return with_target(side_features(live, flow, side, fit_on=fit_on))
 
 
+def training_table_from(side_rows_df: DataFrame) -> DataFrame:
+    """C2/C3 from already imputed, split and cut rows of one side."""
+    return with_target(feature_columns(history_profile(side_rows_df)))
+
+
 # --- C4 / C5 -----------------------------------------------------------------
 
 def features_all_customers(live: DataFrame, flow: S.Flow = S.SECOND_FLOW) -> DataFrame:

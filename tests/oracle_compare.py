@@ -53,6 +53,17 @@ def rows_of(columns: list[str], records) -> Counter:
     return Counter(tuple(_norm(r[i]) for i in order) for r in records)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "timestamp_ntz": "TIMESTAMP", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def spark_type_as_duck(simple: str) -> str:
+    if simple.startswith("decimal"):
+        return simple.upper()
+    return SPARK_TO_DUCK.get(simple, simple.upper())
+
+
 def compare(spark, key: str, sf_dir: str, con=None) -> dict:
     from marginkit import catalog, oracle
 
@@ -71,6 +82,11 @@ def compare(spark, key: str, sf_dir: str, con=None) -> dict:
     o_cols = [d[0] for d in res.description]
     o_rows = res.fetchall()
     out["oracle_rows"] = len(o_rows)
+    s_types = {f.name: spark_type_as_duck(f.dataType.simpleString()) for f in sdf.schema.fields}
+    o_types = dict(zip(o_cols, (str(t) for t in con.sql(f"select * from ({sql}) limit 0").types)))
+    type_diff = {c: (s_types.get(c), o_types.get(c)) for c in o_cols if s_types.get(c) != o_types.get(c)}
+    if type_diff:
+        out["type_diff"] = type_diff
     same_cols = sorted(s_cols) == sorted(o_cols)
     same = same_cols and rows_of(s_cols, s_rows) == rows_of(o_cols, o_rows)
     out["status"] = "match" if same else "MISMATCH"
