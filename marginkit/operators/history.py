@@ -159,10 +159,23 @@ def history_profile(rows: DataFrame, with_lifestage: bool = False) -> DataFrame:
 # Row-level views of the same steps (the source's intermediate tables).
 # ----------------------------------------------------------------------------
 
-def _join_days(rows: DataFrame, days: DataFrame, how: str = "inner") -> DataFrame:
-    d = days.withColumnRenamed(S.CUSTOMER, "_c").withColumnRenamed(S.DATE, "_d")
-    cond = (rows[S.CUSTOMER] == d["_c"]) & rows[S.DATE].eqNullSafe(d["_d"])
-    return rows.join(d, cond, how).drop("_c", "_d")
+# Day key: days since epoch, NULL dates as the minimum int (outside the
+# 0001-9999 date range, so it never collides). A plain equi-join on it keeps the
+# join's hash partitioning usable by the in-day window that follows; a null-safe
+# join on the date would not, and would cost a second full shuffle of the rows.
+NO_DATE_KEY = -(2 ** 31)
+
+
+def _day_key() -> Column:
+    return F.coalesce(F.unix_date(F.col(S.DATE)), F.lit(NO_DATE_KEY))
+
+
+def _join_days(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """Attach day facts to rows on (customer, day key); the result is hash
+    partitioned by that key, which the in-day window reuses."""
+    d = days.withColumn("_dkd", _day_key()).drop(S.DATE).withColumnRenamed(S.CUSTOMER, "_c")
+    r = rows.withColumn("_dk", _day_key())
+    return r.join(d, (r[S.CUSTOMER] == d["_c"]) & (r["_dk"] == d["_dkd"])).drop("_c", "_dkd")
 
 
 def history_rows(rows: DataFrame) -> DataFrame:
@@ -171,8 +184,9 @@ def history_rows(rows: DataFrame) -> DataFrame:
     ``no_of_purc`` (J3: the customer's dated anchored purchases), plus what W4
     needs (``_newer``: the next newer day, ``_wd``: rank inside the day).
 
-    One day-grain aggregate, one bounded window over days (all frames share
-    one partitioning and order), one join back on (customer, day).
+    One day-grain aggregate (partial, narrow columns), one bounded window over
+    days (all frames share one partitioning and order), one join back on
+    (customer, day key) whose partitioning the in-day rank reuses.
     """
     days = rows.groupBy(*DAY_KEYS).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(S.DATE).alias("n_dated"),
@@ -189,7 +203,7 @@ def history_rows(rows: DataFrame) -> DataFrame:
                 w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0)))
             .withColumn("_newer", F.lag(S.DATE).over(w)))
     joined = _join_days(rows, days.select(*DAY_KEYS, "grp", "_anchored", "rows_before", "no_of_purc", "_newer"))
-    in_day = Window.partitionBy(*DAY_KEYS).orderBy(*[F.col(c).asc_nulls_first() for c in ROW_FIELDS])
+    in_day = Window.partitionBy(S.CUSTOMER, "_dk").orderBy(*[F.col(c).asc_nulls_first() for c in ROW_FIELDS])
     return (joined.withColumn("_wd", F.row_number().over(in_day))
             .withColumn("ROW_numbering", F.when(F.col("_anchored"), F.col("rows_before") + F.col("_wd")).cast("int")))
 

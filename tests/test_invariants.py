@@ -86,3 +86,13 @@ def test_history_windows_run_on_day_grain(live):
         below = next(line for line in lines[i + 1:]
                      if any(k in line for k in ("Aggregate [", "Join ", "Relation [")))
         assert "Aggregate [consumer_id" in below and "acquisition_date" in below.split("]")[0], below
+
+
+def test_in_day_rank_reuses_join_partitioning(live):
+    """The row-level history shuffles rows once (for the join back); the in-day
+    rank must run on that partitioning, with no exchange in between."""
+    from marginkit.operators import history as H
+    lines = _plan(H.rank_newest(plans.side_rows(live, S.US_FLOW, "train"))).splitlines()
+    i = next(k for k, line in enumerate(lines) if "Window [row_number()" in line and "_dk" in line)
+    below = next(line for line in lines[i + 1:] if "Exchange" in line or "SortMergeJoin" in line)
+    assert "SortMergeJoin" in below or "BroadcastHashJoin" in below, below
