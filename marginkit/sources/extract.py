@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 
+SNAPSHOT_DAY = "snapshot_day"
+
 
 def _predicate(spec: S.ExtractSpec) -> Column:
     cond = (F.col(S.CUSTOMER).isNotNull() & F.col(S.VIN).isNotNull()
@@ -48,6 +50,12 @@ def extract_snapshot(df: DataFrame, as_of: dt.date, spec: S.ExtractSpec) -> Data
     """
     start = dt.datetime.combine(as_of, dt.time())
     day = (F.col(S.SNAPSHOT_TS) >= F.lit(start)) & (F.col(S.SNAPSHOT_TS) < F.lit(start + dt.timedelta(days=1)))
+    if SNAPSHOT_DAY in df.columns:
+        # Table written by write_history: prune partitions. The day column was
+        # derived in the writer's time zone, so allow one day either side; the
+        # exact timestamp range above still selects the snapshot.
+        one = dt.timedelta(days=1)
+        day = F.col(SNAPSHOT_DAY).between(F.lit(as_of - one), F.lit(as_of + one)) & day
     return extract_ownership(df.where(day), spec)
 
 
@@ -55,3 +63,10 @@ def extract_outcome(df: DataFrame, start: dt.date, spec: S.ExtractSpec) -> DataF
     """S3: purchases on or after ``start`` with a known, non-zero margin."""
     return extract_ownership(df, spec.with_(start=start, end=None, require_margin=True,
                                             nonzero_margin=True))
+
+
+def write_history(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store the snapshotted purchase table partitioned by snapshot day, so
+    ``extract_snapshot`` reads one directory instead of every snapshot."""
+    (df.withColumn(SNAPSHOT_DAY, F.to_date(F.col(S.SNAPSHOT_TS)))
+       .write.mode(mode).partitionBy(SNAPSHOT_DAY).parquet(path))

@@ -96,3 +96,17 @@ def test_in_day_rank_reuses_join_partitioning(live):
     i = next(k for k, line in enumerate(lines) if "Window [row_number()" in line and "_dk" in line)
     below = next(line for line in lines[i + 1:] if "Exchange" in line or "SortMergeJoin" in line)
     assert "SortMergeJoin" in below or "BroadcastHashJoin" in below, below
+
+
+def test_snapshot_extract_prunes_partitions(spark, hist):
+    import tempfile
+    from marginkit.sources import extract_snapshot, write_history
+    path = tempfile.mkdtemp(prefix="marginkit-hist-") + "/history"
+    write_history(hist, path)
+    stored = spark.read.parquet(path)
+    flow = S.US_FLOW
+    a = extract_snapshot(stored, flow.calendar.snapshot, flow.snapshot_extract())
+    b = extract_snapshot(hist, flow.calendar.snapshot, flow.snapshot_extract())
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    plan = _plan(a)
+    assert "PartitionFilters: [isnotnull(snapshot_day" in plan and "(snapshot_day" in plan
