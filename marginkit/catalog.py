@@ -188,8 +188,7 @@ def queries() -> dict[str, Query]:
         "smape_compare": lambda s, d: plans.smape_compare(_live(s, d), _hist(s, d), US),
         # parts, audits, sinks, model
         "split_parts": lambda s, d: split_parts(_scoring_us(s, d), 3).select(S.CUSTOMER, "part"),
-        "left_anti_rest": lambda s, d: rest_after(
-            _scoring_us(s, d), split_parts(_scoring_us(s, d), 3).where(F.col("part") == 1)),
+        "left_anti_rest": lambda s, d: _rest_after_first_part(_scoring_us(s, d)),
         "quality_profile": lambda s, d: plans.training_quality_profile(_live(s, d), US),
         "value_counts": lambda s, d: value_counts(plans.training_table(_live(s, d)),
                                                   ["Freq_purchase", "lease_purchase_flag", "AVERAGE_TIME_TO_PURCHASE"]),
@@ -203,6 +202,11 @@ def queries() -> dict[str, Query]:
     return q
 
 
+def _rest_after_first_part(feats: DataFrame) -> DataFrame:
+    """The scoring table minus its first part, as the source cuts it."""
+    return rest_after(feats, split_parts(feats, 3).where(F.col("part") == 1))
+
+
 def _sorted(df: DataFrame) -> DataFrame:
     from .plans.views import sorted_output
     return sorted_output(df, S.CUSTOMER)

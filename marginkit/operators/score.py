@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .joins import materialize
 
 CATEGORICAL = ("Freq_purchase", "AVERAGE_TIME_TO_PURCHASE", "lease_purchase_flag")
 NUMERIC = ("avg_imputed_contribution_margin", "avg_vehicle_age")
@@ -39,8 +40,14 @@ def _prepare(df: DataFrame) -> DataFrame:
 
 
 def fit_margin_model(training: DataFrame, reg_param: float = 0.1) -> PipelineModel:
-    """Fit on a training table (features + ``Latest_CM`` target)."""
-    return margin_pipeline(reg_param).fit(_prepare(training).where(F.col("label").isNotNull()))
+    """Fit on a training table (features + ``Latest_CM`` target).
+
+    The fit makes several passes (one per indexer, then the solver), so its
+    input, one narrow row per customer, is materialized once in the shared
+    checkpoint folder instead of re-running the feature flow on every pass.
+    """
+    data = materialize(_prepare(training).where(F.col("label").isNotNull()))
+    return margin_pipeline(reg_param).fit(data)
 
 
 def score_margin(model: PipelineModel, features: DataFrame) -> DataFrame:
