@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import hash_bucket
 from ..operators.baseline import (
-    baseline_imputed, baseline_margin, cohort_match, match_back, recent_mean, unmatched_margin_audit,
+    baseline_imputed, baseline_margin, baseline_stats, cohort_match, match_back, recent_mean_of,
+    unmatched_margin_audit,
 )
 from ..operators.clean import clean_ownership, time_cut
 from ..operators.evaluate import smape
 from ..operators.features import customer_summary, feature_columns, model_features, with_target
 from ..operators.history import first_outcome, history_profile
 from ..operators.impute import group_median, impute_zero_margin
-from ..operators.joins import join_checked
+from ..operators.joins import join_checked, materialize
 from ..operators.quality import profile_flags
 from ..operators.split import TRAIN_PERCENT, split_side
 from ..sources.extract import extract_outcome, extract_ownership, extract_snapshot
@@ -139,9 +140,14 @@ def baseline_predictions(history: DataFrame, flow: S.Flow = S.US_FLOW, fallback=
     of the recent year, computed from the data; pass the source's constant for
     parity)."""
     ex = baseline_extract(history, flow)
+    stats = baseline_stats(ex, flow.calendar.recent_start, flow.calendar.recent_end)
     if fallback is None:
-        fallback = recent_mean(ex, flow.calendar.recent_start, flow.calendar.recent_end)
-    return baseline_imputed(baseline_margin(ex), fallback)
+        # Customer means and the fallback come from one per-customer aggregate;
+        # it is materialized once (customer grain, small next to the extract) so
+        # the scalar fallback and the predictions do not scan the extract twice.
+        stats = materialize(stats)
+        fallback = recent_mean_of(stats)
+    return baseline_imputed(stats, fallback)
 
 
 def baseline_match(live: DataFrame, history: DataFrame, flow: S.Flow = S.US_FLOW, fallback=None) -> DataFrame:
