@@ -180,10 +180,11 @@ def smape_compare(live: DataFrame, history: DataFrame, flow: S.Flow = S.US_FLOW,
     margin, stands in as a naive prediction.
     """
     feats = scoring_features(live, history, flow)
-    new = (new_predictions if new_predictions is not None else
-           feats.select(S.CUSTOMER, F.col("avg_imputed_contribution_margin").alias("predicted_margin")))
+    if new_predictions is None:  # one reference to the scoring table, no self-join
+        scored = feats.select(S.CUSTOMER, "Latest_CM", F.col("avg_imputed_contribution_margin").alias("new_model"))
+    else:
+        scored = feats.select(S.CUSTOMER, "Latest_CM").join(
+            new_predictions.select(S.CUSTOMER, F.col("predicted_margin").alias("new_model")), S.CUSTOMER)
     base = baseline_match(live, history, flow, fallback)
-    joined = (feats.select(S.CUSTOMER, "Latest_CM")
-              .join(new.select(S.CUSTOMER, F.col("predicted_margin").alias("new_model")), S.CUSTOMER)
-              .join(base.select(S.CUSTOMER, F.col("avg_cm_imputed").alias("current_model")), S.CUSTOMER))
+    joined = scored.join(base.select(S.CUSTOMER, F.col("avg_cm_imputed").alias("current_model")), S.CUSTOMER)
     return smape(joined, {"new_model": "new_model", "current_model": "current_model"})

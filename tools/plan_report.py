@@ -4,8 +4,7 @@ Usage: python tools/plan_report.py [sf_dir] > PLANS.md
 
 For every flow: operator counts of the executed plan (shuffle exchanges,
 broadcasts, join strategies, aggregate kinds, windows, sorts), split into the
-adapter part (the driver's TPC-H tables -> purchase table) and the flow proper,
-
+adapter part (the driver's TPC-H tables -> purchase table) and the flow proper.
 """
 
 from __future__ import annotations
