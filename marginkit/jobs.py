@@ -28,6 +28,7 @@ from . import schema as S
 from .operators.evaluate import smape
 from .operators.quality import value_counts
 from .operators.split import split_parts
+from .plans.views import sorted_output
 from .session import build_session
 from .sources import adapter
 from .sources.tables import read_cohort_csv, read_table, write_table
@@ -53,8 +54,13 @@ def _load(spark: SparkSession, path_or_table: str, table: bool) -> DataFrame:
     return spark.table(path_or_table) if table else read_table(spark, path_or_table)
 
 
+SORT_OUTPUT = False  # set by --sorted: order final tables by customer at the sink (a range-sort shuffle)
+
+
 def _save(df: DataFrame, out: str, name: str, csv: bool = False) -> str:
     path = os.path.join(out, name)
+    if SORT_OUTPUT and S.CUSTOMER in df.columns:
+        df = sorted_output(df, S.CUSTOMER)
     write_table(df, path, "parquet")
     if csv:
         write_table(df, path + "_csv", "csv")
@@ -122,7 +128,10 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--fit-on", choices=["all", "train"], default="all")
     p.add_argument("--fallback", type=float, default=None, help="constant baseline fallback (default: recent mean)")
     p.add_argument("--master", default=None)
+    p.add_argument("--sorted", action="store_true", help="order final tables by consumer_id at the sink")
     args = p.parse_args(argv)
+    global SORT_OUTPUT
+    SORT_OUTPUT = args.sorted
 
     spark = build_session(args.master, 200 if args.master is None else 8)
     flow = _flow(args)

@@ -87,3 +87,20 @@ def test_training_job_writes_tables(spark, live):
     csv = spark.read.option("header", True).csv(written["training_table"] + "_csv")
     assert csv.count() == n
     assert os.path.isdir(written["quality_profile"])
+
+
+def test_scoring_and_compare_jobs(spark, live):
+    from marginkit.jobs import run_compare, run_scoring
+    hist = adapter.ownership_history(spark, SF)
+    out = tempfile.mkdtemp(prefix="marginkit-job-")
+    written = run_scoring(spark, live, hist, S.US_FLOW, out)
+    n = spark.read.parquet(written["scoring_features"]).count()
+    parts = spark.read.option("header", True).csv(written["scoring_parts"])
+    assert parts.count() == n and sorted(r.part for r in parts.select("part").distinct().collect()) == [1, 2, 3]
+    cmp = run_compare(spark, live, hist, written["scoring_features"] + "_csv", S.US_FLOW, out)
+    rows = {r.model: r for r in spark.read.parquet(cmp["smape"]).collect()}
+    want = {r.model: r for r in plans.smape_compare(live, hist, S.US_FLOW).collect()}
+    assert rows.keys() == want.keys() == {"new_model", "current_model"}
+    for m in rows:
+        assert rows[m].customers == want[m].customers
+        assert abs(rows[m].smape - want[m].smape) < 1e-6
