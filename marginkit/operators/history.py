@@ -56,15 +56,22 @@ def day_summary(rows: DataFrame, with_second: bool = False) -> DataFrame:
     ``first``, the day's row with the lowest vin (and ``second`` if asked)."""
     if not with_second:
         return rows.groupBy(*DAY_KEYS).agg(*_day_sums(), F.min(_row_struct()).alias("first"))
-    # The second row of a day needs an order inside the (customer, day) group;
-    # the aggregate below reuses the window's partitioning (no extra shuffle).
-    in_day = Window.partitionBy(*DAY_KEYS).orderBy(*[F.col(c).asc_nulls_first() for c in ROW_FIELDS])
-    ranked = rows.withColumn("_wd", F.row_number().over(in_day))
-    return ranked.groupBy(*DAY_KEYS).agg(
-        *_day_sums(),
-        F.max(F.when(F.col("_wd") == 1, _row_struct())).alias("first"),
-        F.max(F.when(F.col("_wd") == 2, _row_struct())).alias("second"),
-    )
+    # The second row of a day needs an order inside the (customer, day) group.
+    # ``_wd <= 2`` on a row_number becomes a WindowGroupLimit that Spark also runs
+    # before the shuffle, so each map task sends at most two rows per day and a
+    # hot (customer, day) never reaches one task whole. Both halves are grouped
+    # on the integer day key (NULL dates included), so the join that puts them
+    # together reuses their partitioning.
+    keyed = rows.withColumn("_dk", _day_key())
+    sums = keyed.groupBy(S.CUSTOMER, "_dk").agg(*_day_sums(), F.max(S.DATE).alias(S.DATE))
+    in_day = Window.partitionBy(S.CUSTOMER, "_dk").orderBy(*[F.col(c).asc_nulls_first() for c in ROW_FIELDS])
+    top2 = (keyed.select(S.CUSTOMER, "_dk", _row_struct().alias("_r"),
+                         F.row_number().over(in_day).alias("_wd"))
+            .where(F.col("_wd") <= 2)
+            .groupBy(S.CUSTOMER, "_dk").agg(
+                F.max(F.when(F.col("_wd") == 1, F.col("_r"))).alias("first"),
+                F.max(F.when(F.col("_wd") == 2, F.col("_r"))).alias("second")))
+    return sums.join(top2, [S.CUSTOMER, "_dk"]).drop("_dk")
 
 
 def anchor_days(days: DataFrame) -> DataFrame:

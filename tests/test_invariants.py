@@ -110,3 +110,19 @@ def test_snapshot_extract_prunes_partitions(spark, hist):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     plan = _plan(a)
     assert "PartitionFilters: [isnotnull(snapshot_day" in plan and "(snapshot_day" in plan
+
+
+def test_lifestage_in_day_rank_is_limited_before_the_shuffle(live):
+    """W5 needs the two lowest rows of a day. A partial WindowGroupLimit must run
+    below the exchange, so a hot (customer, day) sends at most two rows per map
+    task; the join with the day sums must add no exchange of its own."""
+    from marginkit.operators import history as H
+    df = H.day_summary(plans.side_rows(live, S.US_FLOW, "train"), with_second=True)
+    lines = _plan(df).splitlines()
+    limits = [i for i, line in enumerate(lines) if "WindowGroupLimit" in line]
+    assert len(limits) == 2, "\n".join(lines)
+    final, partial = limits
+    assert "Final" in lines[final] and "Partial" in lines[partial]
+    assert any("Exchange" in line for line in lines[final + 1:partial])
+    day_shuffles = [line for line in lines if "Exchange hashpartitioning(consumer_id" in line]
+    assert len(day_shuffles) == 2 and all("_dk" in line for line in day_shuffles), "\n".join(day_shuffles)
