@@ -185,7 +185,7 @@ def _join_days(rows: DataFrame, days: DataFrame) -> DataFrame:
     return r.join(d, (r[S.CUSTOMER] == d["_c"]) & (r["_dk"] == d["_dkd"])).drop("_c", "_dkd")
 
 
-def history_rows(rows: DataFrame) -> DataFrame:
+def history_rows(rows: DataFrame, hot_day_rows: int | None = None) -> DataFrame:
     """Every row annotated with the source's window results, in one pass:
     ``grp`` (W1), ``_anchored`` (F10), ``ROW_numbering`` (W2, anchored rows),
     ``no_of_purc`` (J3: the customer's dated anchored purchases), plus what W4
@@ -194,7 +194,12 @@ def history_rows(rows: DataFrame) -> DataFrame:
     One day-grain aggregate (partial, narrow columns), one bounded window over
     days (all frames share one partitioning and order), one join back on
     (customer, day key) whose partitioning the in-day rank reuses.
+
+    Days with more than ``hot_day_rows`` rows (default ``HOT_DAY_ROWS``) never
+    reach one task: they are found first (a count aggregate, size-checked), skip
+    the hash join, and are ranked by range partitioning (``_rank_hot_days``).
     """
+    limit = HOT_DAY_ROWS if hot_day_rows is None else hot_day_rows
     days = rows.groupBy(*DAY_KEYS).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(S.DATE).alias("n_dated"),
         F.sum(indicator(F.col(S.CYCLE) == S.NEW_VEHICLE_CYCLE)).alias("n_new"))
@@ -209,10 +214,72 @@ def history_rows(rows: DataFrame) -> DataFrame:
             .withColumn("no_of_purc", F.coalesce(F.sum(F.when(anchored, F.col("n_dated"))).over(
                 w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0)))
             .withColumn("_newer", F.lag(S.DATE).over(w)))
-    joined = _join_days(rows, days.select(*DAY_KEYS, "grp", "_anchored", "rows_before", "no_of_purc", "_newer"))
-    in_day = Window.partitionBy(S.CUSTOMER, "_dk").orderBy(*[F.col(c).asc_nulls_first() for c in ROW_FIELDS])
-    return (joined.withColumn("_wd", F.row_number().over(in_day))
-            .withColumn("ROW_numbering", F.when(F.col("_anchored"), F.col("rows_before") + F.col("_wd")).cast("int")))
+    facts = days.select(*DAY_KEYS, "grp", "_anchored", "rows_before", "no_of_purc", "_newer")
+    hot = _hot_days(rows, limit)
+    if hot is None:
+        return _rank_in_day(_join_days(rows, facts))
+    hot_keys, small = hot
+    hot_ref = F.broadcast(hot_keys) if small else hot_keys
+    keyed = rows.withColumn("_dk", _day_key())
+    normal = keyed.join(hot_ref, [S.CUSTOMER, "_dk"], "left_anti").drop("_dk")
+    hot_rows = keyed.join(hot_ref, [S.CUSTOMER, "_dk"], "left_semi")
+    hot_facts = (facts.withColumn("_dk", _day_key()).drop(S.DATE)
+                 .join(hot_ref, [S.CUSTOMER, "_dk"], "left_semi"))
+    hot_rows = hot_rows.join(F.broadcast(hot_facts) if small else hot_facts, [S.CUSTOMER, "_dk"])
+    return _rank_in_day(_join_days(normal, facts)).unionByName(_rank_hot_days(hot_rows))
+
+
+# A (customer, day) with more rows than this is ranked without a per-day window.
+HOT_DAY_ROWS = 100_000
+
+
+def _ordered_row_fields() -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in ROW_FIELDS]
+
+
+def _with_row_numbering(df: DataFrame) -> DataFrame:
+    return df.withColumn("ROW_numbering", F.when(F.col("_anchored"), F.col("rows_before") + F.col("_wd")).cast("int"))
+
+
+def _rank_in_day(joined: DataFrame) -> DataFrame:
+    in_day = Window.partitionBy(S.CUSTOMER, "_dk").orderBy(*_ordered_row_fields())
+    return _with_row_numbering(joined.withColumn("_wd", F.row_number().over(in_day)))
+
+
+def _hot_days(rows: DataFrame, limit: int):
+    """(customer, day key) pairs with more than ``limit`` rows, materialized, and
+    whether they are few enough to broadcast; None if there are none. Their
+    number is at most rows / limit."""
+    from .joins import DEFAULT_BROADCAST_ROWS, materialize
+    hot = materialize(rows.withColumn("_dk", _day_key()).groupBy(S.CUSTOMER, "_dk")
+                      .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(S.CUSTOMER, "_dk"))
+    n = hot.count()
+    return None if n == 0 else (hot, n <= DEFAULT_BROADCAST_ROWS)
+
+
+def _rank_hot_days(hot_rows: DataFrame) -> DataFrame:
+    """Exact in-day rank of rows of hot days without a window per day: range
+    partition on (customer, day, row fields) so a hot day spans many tasks,
+    number rows inside each sorted partition, and add the rows of the same day
+    in earlier partitions (one row per day segment, at most partitions + hot
+    days rows, which is what is joined back)."""
+    from .joins import join_checked, materialize
+    spark = hot_rows.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(S.CUSTOMER).asc(), F.col("_dk").asc(), *_ordered_row_fields()]
+    ordered = (hot_rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_mono", F.monotonically_increasing_id()))
+    # Stable ids for both uses below (a reliable checkpoint, not a re-sample).
+    ordered = materialize(ordered)
+    segs = ordered.groupBy("_pid", S.CUSTOMER, "_dk").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_start"))
+    by_day = Window.partitionBy(S.CUSTOMER, "_dk").orderBy("_pid")
+    segs = segs.withColumn("_before", F.coalesce(
+        F.sum("_n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = join_checked(ordered, segs, ["_pid", S.CUSTOMER, "_dk"])
+    ranked = ranked.withColumn("_wd", (F.col("_before") + F.col("_mono") - F.col("_start") + 1).cast("int"))
+    return _with_row_numbering(ranked.drop("_pid", "_mono", "_start", "_before"))
 
 
 def new_anchor(rows: DataFrame) -> DataFrame:

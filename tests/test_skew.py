@@ -61,3 +61,51 @@ def test_hot_customer_window_groups_are_calendar_bounded(spark):
     hot_rows = rows.where(F.col(S.CUSTOMER) == HOT).count()
     assert hot_rows == N // 3
     assert biggest <= 2500 < hot_rows  # the window sees days, not the 50,000 rows
+
+
+def _hot_day_rows(spark, n=40_000):
+    """A third of the rows on one (customer, day), plus a hot day with no date;
+    vins repeat inside the hot day so the margin (NULLs first) breaks ties."""
+    i = F.col("id")
+    h = lambda k: F.pmod(F.hash(i, F.lit(k)), F.lit(1 << 30))
+    hot = i % 3 == 0
+    no_date = i % 3 == 1
+    return spark.range(n).select(
+        F.when(hot, F.concat(F.lit("V"), (i % 5000).cast("string")))
+         .otherwise(F.concat(F.lit("W"), i.cast("string"))).alias(S.VIN),
+        F.when(hot | (no_date & (i % 2 == 1)), F.lit(HOT)).otherwise(i % 3000).cast("long").alias(S.CUSTOMER),
+        (h(1) % 3 + 1).cast("int").alias(S.CYCLE),
+        F.lit("M").alias(S.MODEL), F.lit("2010").alias(S.MODEL_YEAR),
+        F.when(hot, F.lit("2015-06-01").cast("date"))
+         .when(no_date & (i % 2 == 1), F.lit(None).cast("date"))
+         .otherwise(F.date_add(F.lit("2005-01-01").cast("date"), (h(2) % 2500).cast("int"))).alias(S.DATE),
+        F.lit(2010).alias(S.YEAR),
+        (h(3) % 15).cast("int").alias(S.AGE), (h(4) % 2).cast("int").alias(S.LEASE),
+        F.lit("CAR").alias(S.PLATFORM), F.lit("L1").alias(S.LIFESTAGE),
+        F.when(hot & (i % 5000 == i % 15000), F.lit(None))
+         .otherwise((i + 100) / 100).cast("decimal(18,2)").alias(S.MARGIN),
+    )
+
+
+def test_hot_day_rank_equals_window_rank(spark, monkeypatch):
+    """Row-level history with hot days ranked by range partitioning (threshold
+    1,000 rows) equals the plain in-day window (no day counts as hot)."""
+    from marginkit.operators import history as H
+    rows = clean_ownership(_hot_day_rows(spark)).repartition(16)
+    cols = [S.CUSTOMER, S.VIN, S.MARGIN, S.DATE, "grp", "ROW_numbering", "no_of_purc"]
+
+    def run(limit):
+        monkeypatch.setattr(H, "HOT_DAY_ROWS", limit)
+        ranked = H.history_rows(rows).select(*cols, "_wd")
+        gaps = H.purchase_gaps(rows)
+        return sorted(map(tuple, ranked.collect()), key=repr), sorted(map(tuple, gaps.collect()), key=repr)
+
+    hot = H._hot_days(rows, 1000)
+    assert hot is not None and hot[0].count() == 2 and hot[1]  # the dated and the undated hot day, broadcast
+    hot_ranked, hot_gaps = run(1000)
+    plain_ranked, plain_gaps = run(10 ** 9)
+    assert len(hot_ranked) == rows.count()
+    assert hot_ranked == plain_ranked
+    assert hot_gaps == plain_gaps
+    hot_day = [r for r in hot_ranked if r[0] == HOT and r[3] is not None and str(r[3]) == "2015-06-01"]
+    assert sorted(r[-1] for r in hot_day) == list(range(1, len(hot_day) + 1))
