@@ -11,7 +11,9 @@ join here ever sees all of one customer's rows in one task:
    per calendar day in the extract window (< 7,000 for 19 years), so each window
    group has a proven size bound however skewed the customers are.
 3. Row-level outputs join day facts back on (consumer_id, acquisition_date),
-   again a key that spreads a hot customer.
+   again a key that spreads a hot customer. A hot *day* (more than
+   ``HOT_DAY_ROWS`` rows) is found first and ranked by range partitioning, so
+   no join or window sees one day whole either.
 
 Date ties: all rows of one day are peers for the "new purchase" anchor (the
 source's RANGE frame), and are ordered by ``vin`` when one row must be picked.
