@@ -172,7 +172,8 @@ def queries() -> dict[str, Query]:
         "test_table": lambda s, d: plans.training_table(_live(s, d), US, "test"),
         "features_all_customers": lambda s, d: plans.features_all_customers(_live(s, d), SECOND),
         "first_outcome": lambda s, d: plans.outcome_first(_live(s, d), US),
-        "match_back": lambda s, d: B.match_back(plans.scoring_rows(_hist(s, d), US), plans.outcome_first(_live(s, d), US)),
+        "match_back": lambda s, d: B.match_back(plans.scoring_rows(_hist(s, d), US), plans.outcome_first(_live(s, d), US),
+                                                rows=True),
         "scoring_features": _scoring_us,
         "scoring_features_second": lambda s, d: plans.scoring_features(_live(s, d), _hist(s, d), SECOND),
         # baseline

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import exact_mean
+from .joins import DEFAULT_BROADCAST_ROWS, join_checked
 
 
 def _known(c: str = S.MARGIN) -> Column:
@@ -70,17 +71,30 @@ def baseline_imputed(base: DataFrame, fallback) -> DataFrame:
     return base.select(S.CUSTOMER, F.coalesce(F.col("avg_cm"), fill.cast("double")).alias("avg_cm_imputed"))
 
 
-def match_back(left: DataFrame, outcome_first: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def match_back(left: DataFrame, outcome_first: DataFrame, columns: list[str] | None = None,
+               rows: bool = False) -> DataFrame:
     """Rows of customers who bought again, with the outcome margin attached.
 
-    ``outcome_first`` has one row per customer. When ``left`` is row-level (a
-    whole history) the join shuffles on the customer and AQE splits a hot
-    customer's partition; when both sides are per customer there is no skew.
+    ``outcome_first`` has one row per customer. When both sides are per customer
+    there is no skew. When ``left`` is row-level (``rows=True``: a whole
+    history, where one customer may hold a third of the rows) the outcome side is
+    materialized and counted first (``join_checked``): it is broadcast under the
+    bound, and above it both join inputs are plain shuffle stages, which is what
+    AQE needs to split the hot customer's partition (an aggregate on top of
+    one side's shuffle would keep AQE from splitting).
     """
-    joined = left.join(outcome_first.select(S.CUSTOMER, "Latest_CM"), S.CUSTOMER, "inner")
+    outcome = outcome_first.select(S.CUSTOMER, "Latest_CM")
+    if rows:
+        joined = join_checked(left, outcome, S.CUSTOMER, "inner", max_rows=MATCH_BACK_BROADCAST_ROWS)
+    else:
+        joined = left.join(outcome, S.CUSTOMER, "inner")
     return joined.select(*(columns or joined.columns))
 
 
+# Broadcast bound of the per-customer outcome side in the row-level match-back.
+MATCH_BACK_BROADCAST_ROWS = DEFAULT_BROADCAST_ROWS
+
+
 def cohort_match(matched: DataFrame, cohort: DataFrame) -> DataFrame:
     """Keep baseline rows of the customers in the new model's cohort. An
     inner join, so a customer listed twice in the cohort appears twice, as in

@@ -109,3 +109,35 @@ def test_hot_day_rank_equals_window_rank(spark, monkeypatch):
     assert hot_gaps == plain_gaps
     hot_day = [r for r in hot_ranked if r[0] == HOT and r[3] is not None and str(r[3]) == "2015-06-01"]
     assert sorted(r[-1] for r in hot_day) == list(range(1, len(hot_day) + 1))
+
+
+def test_row_level_match_back_splits_the_hot_customer(spark, monkeypatch):
+    """Above the broadcast bound, the row-level match-back joins two plain shuffle
+    stages, so AQE splits the hot customer's partition; the rows equal a plain join."""
+    from marginkit.operators import baseline as B
+    from marginkit.operators import history as H
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.shuffle.partitions": "32",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    saved = {k: spark.conf.get(k, None) for k in conf}
+    monkeypatch.setattr(B, "MATCH_BACK_BROADCAST_ROWS", 0)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = clean_ownership(_rows(spark))
+        outcome = H.first_outcome(rows.where(F.col(S.DATE) >= "2010-01-01"))
+        df = B.match_back(rows, outcome, rows=True)
+        got = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan, plan
+        plain = rows.join(outcome.select(S.CUSTOMER, "Latest_CM"), S.CUSTOMER).select(*df.columns)
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
