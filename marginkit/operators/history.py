@@ -198,8 +198,9 @@ def history_rows(rows: DataFrame, hot_day_rows: int | None = None) -> DataFrame:
     (customer, day key) whose partitioning the in-day rank reuses.
 
     Days with more than ``hot_day_rows`` rows (default ``HOT_DAY_ROWS``) never
-    reach one task: they are found first (a count aggregate, size-checked), skip
-    the hash join, and are ranked by range partitioning (``_rank_hot_days``).
+    reach one task: they are found first (a count aggregate whose result is
+    bounded for broadcast), skip the hash join, and are ranked by range
+    partitioning (``_rank_hot_days``).
     """
     limit = HOT_DAY_ROWS if hot_day_rows is None else hot_day_rows
     days = rows.groupBy(*DAY_KEYS).agg(
@@ -220,14 +221,13 @@ def history_rows(rows: DataFrame, hot_day_rows: int | None = None) -> DataFrame:
     hot = _hot_days(rows, limit)
     if hot is None:
         return _rank_in_day(_join_days(rows, facts))
-    hot_keys, small = hot
-    hot_ref = F.broadcast(hot_keys) if small else hot_keys
+    hot_ref = F.broadcast(hot)  # size-bounded by _hot_days
     keyed = rows.withColumn("_dk", _day_key())
     normal = keyed.join(hot_ref, [S.CUSTOMER, "_dk"], "left_anti").drop("_dk")
     hot_rows = keyed.join(hot_ref, [S.CUSTOMER, "_dk"], "left_semi")
     hot_facts = (facts.withColumn("_dk", _day_key()).drop(S.DATE)
                  .join(hot_ref, [S.CUSTOMER, "_dk"], "left_semi"))
-    hot_rows = hot_rows.join(F.broadcast(hot_facts) if small else hot_facts, [S.CUSTOMER, "_dk"])
+    hot_rows = hot_rows.join(F.broadcast(hot_facts), [S.CUSTOMER, "_dk"])
     return _rank_in_day(_join_days(normal, facts)).unionByName(_rank_hot_days(hot_rows))
 
 
@@ -248,15 +248,20 @@ def _rank_in_day(joined: DataFrame) -> DataFrame:
     return _with_row_numbering(joined.withColumn("_wd", F.row_number().over(in_day)))
 
 
-def _hot_days(rows: DataFrame, limit: int):
-    """(customer, day key) pairs with more than ``limit`` rows, materialized, and
-    whether they are few enough to broadcast; None if there are none. Their
-    number is at most rows / limit."""
+def _hot_days(rows: DataFrame, limit: int) -> DataFrame | None:
+    """(customer, day key) pairs with more than ``limit`` rows, materialized, or
+    None if there are none. Always few enough to broadcast: if more than the
+    broadcast bound B exceed ``limit``, the limit is raised to ceil(T / B), T the
+    rows of those days; fewer than B days can exceed it, and every other day's
+    window group is bounded by it."""
     from .joins import DEFAULT_BROADCAST_ROWS, materialize
-    hot = materialize(rows.withColumn("_dk", _day_key()).groupBy(S.CUSTOMER, "_dk")
-                      .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(S.CUSTOMER, "_dk"))
-    n = hot.count()
-    return None if n == 0 else (hot, n <= DEFAULT_BROADCAST_ROWS)
+    counts = materialize(rows.withColumn("_dk", _day_key()).groupBy(S.CUSTOMER, "_dk")
+                         .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit))
+    n, total = counts.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if n > DEFAULT_BROADCAST_ROWS:
+        counts = counts.where(F.col("_n") > -(-total // DEFAULT_BROADCAST_ROWS))
+        n = counts.count()
+    return None if n == 0 else counts.select(S.CUSTOMER, "_dk")
 
 
 def _rank_hot_days(hot_rows: DataFrame) -> DataFrame:

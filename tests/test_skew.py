@@ -101,7 +101,7 @@ def test_hot_day_rank_equals_window_rank(spark, monkeypatch):
         return sorted(map(tuple, ranked.collect()), key=repr), sorted(map(tuple, gaps.collect()), key=repr)
 
     hot = H._hot_days(rows, 1000)
-    assert hot is not None and hot[0].count() == 2 and hot[1]  # the dated and the undated hot day, broadcast
+    assert hot is not None and hot.count() == 2  # the dated and the undated hot day
     hot_ranked, hot_gaps = run(1000)
     plain_ranked, plain_gaps = run(10 ** 9)
     assert len(hot_ranked) == rows.count()
@@ -141,3 +141,16 @@ def test_row_level_match_back_splits_the_hot_customer(spark, monkeypatch):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_days_stay_within_the_broadcast_bound(spark, monkeypatch):
+    """With more hot days than the bound, the limit rises to ceil(rows / bound):
+    here 20,000 rows in two hot days and a bound of 1 leave 13,333 < 20,000, so
+    none is hot, and the window path still gives the same numbers."""
+    from marginkit.operators import history as H
+    from marginkit.operators import joins
+    rows = clean_ownership(_hot_day_rows(spark))
+    monkeypatch.setattr(joins, "DEFAULT_BROADCAST_ROWS", 1)
+    assert H._hot_days(rows, 1000) is None
+    monkeypatch.setattr(joins, "DEFAULT_BROADCAST_ROWS", 2)
+    assert H._hot_days(rows, 1000).count() == 2
