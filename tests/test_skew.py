@@ -33,10 +33,25 @@ def _rows(spark):
 
 
 def test_hot_customer_features_match_literal_windows(spark):
-    rows = clean_ownership(_rows(spark)).repartition(16)
+    _assert_features_match_literal_windows(spark, _rows(spark))
+
+
+def test_hot_anchor_day_lifestage_matches_literal_windows(spark):
+    """Half of the hot customer's rows (a sixth of all rows) on its newest day, so
+    the lifestage is the second-lowest vin of a 25,000-row anchor day, found by
+    the two-rows-per-day limit instead of a window over the whole day."""
+    raw = _rows(spark)
+    hot_day = (F.col(S.CUSTOMER) == HOT) & (F.substring(F.col(S.VIN), -1, 1).isin("0", "2", "4", "6", "8"))
+    raw = raw.withColumn(S.DATE, F.when(hot_day, F.lit("2013-01-01").cast("date")).otherwise(F.col(S.DATE)))
+    got = _assert_features_match_literal_windows(spark, raw)
+    assert got[HOT].lifestage_value is not None
+
+
+def _assert_features_match_literal_windows(spark, raw):
+    rows = clean_ownership(raw).repartition(16)
     got = {r.consumer_id: r for r in feature_columns(history_profile(rows, with_lifestage=True)).collect()}
 
-    pdf = _rows(spark).toPandas()
+    pdf = raw.toPandas()
     pdf["contribution_margin"] = pdf["contribution_margin"].astype(str)
     con = duckdb.connect()
     con.register("raw", pdf)
@@ -52,6 +67,7 @@ def test_hot_customer_features_match_literal_windows(spark):
         g = got[cid]
         assert tuple(g[c] for c in cols) == tuple(w), (cid, g, w)
     assert got[HOT].freq_excluding_latest > 40_000
+    return got
 
 
 def test_hot_customer_window_groups_are_calendar_bounded(spark):
