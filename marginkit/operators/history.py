@@ -203,9 +203,8 @@ def history_rows(rows: DataFrame, hot_day_rows: int | None = None) -> DataFrame:
     partitioning (``_rank_hot_days``).
     """
     limit = HOT_DAY_ROWS if hot_day_rows is None else hot_day_rows
-    days = rows.groupBy(*DAY_KEYS).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(S.DATE).alias("n_dated"),
-        F.sum(indicator(F.col(S.CYCLE) == S.NEW_VEHICLE_CYCLE)).alias("n_new"))
+    days = _day_counts(rows)
+    hot = _hot_days(days, limit)
     w = _newest_days()
     anchored = F.col("grp") >= 1
     # Anchored days are a suffix of a customer's days in newest-first order, so a
@@ -218,7 +217,6 @@ def history_rows(rows: DataFrame, hot_day_rows: int | None = None) -> DataFrame:
                 w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0)))
             .withColumn("_newer", F.lag(S.DATE).over(w)))
     facts = days.select(*DAY_KEYS, "grp", "_anchored", "rows_before", "no_of_purc", "_newer")
-    hot = _hot_days(rows, limit)
     if hot is None:
         return _rank_in_day(_join_days(rows, facts))
     hot_ref = F.broadcast(hot)  # size-bounded by _hot_days
@@ -248,18 +246,28 @@ def _rank_in_day(joined: DataFrame) -> DataFrame:
     return _with_row_numbering(joined.withColumn("_wd", F.row_number().over(in_day)))
 
 
-def _hot_days(rows: DataFrame, limit: int) -> DataFrame | None:
-    """(customer, day key) pairs with more than ``limit`` rows, materialized, or
-    None if there are none. Always few enough to broadcast: if more than the
-    broadcast bound B exceed ``limit``, the limit is raised to ceil(T / B), T the
-    rows of those days; fewer than B days can exceed it, and every other day's
-    window group is bounded by it."""
-    from .joins import DEFAULT_BROADCAST_ROWS, materialize
-    counts = materialize(rows.withColumn("_dk", _day_key()).groupBy(S.CUSTOMER, "_dk")
-                         .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit))
-    n, total = counts.agg(F.count(F.lit(1)), F.sum("_n")).first()
+def _day_counts(rows: DataFrame) -> DataFrame:
+    """Row counts per (customer, day key). They feed both the hot-day check and
+    the day windows, so they are computed once and cut at day grain (which is
+    also what a lost executor recomputes from)."""
+    from .joins import materialize
+    return materialize(rows.withColumn("_dk", _day_key()).groupBy(S.CUSTOMER, "_dk").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(S.DATE).alias("n_dated"),
+        F.sum(indicator(F.col(S.CYCLE) == S.NEW_VEHICLE_CYCLE)).alias("n_new"),
+        F.max(S.DATE).alias(S.DATE)))
+
+
+def _hot_days(days: DataFrame, limit: int) -> DataFrame | None:
+    """(customer, day key) pairs of the materialized day counts with more than
+    ``limit`` rows, or None if there are none. Always few enough to broadcast: if
+    more than the broadcast bound B exceed ``limit``, the limit is raised to
+    ceil(T / B), T the rows of those days; fewer than B days can exceed it, and
+    every other day's window group is bounded by it."""
+    from .joins import DEFAULT_BROADCAST_ROWS
+    counts = days.where(F.col("n_rows") > limit)
+    n, total = counts.agg(F.count(F.lit(1)), F.sum("n_rows")).first()
     if n > DEFAULT_BROADCAST_ROWS:
-        counts = counts.where(F.col("_n") > -(-total // DEFAULT_BROADCAST_ROWS))
+        counts = counts.where(F.col("n_rows") > -(-total // DEFAULT_BROADCAST_ROWS))
         n = counts.count()
     return None if n == 0 else counts.select(S.CUSTOMER, "_dk")
 

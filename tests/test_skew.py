@@ -116,7 +116,7 @@ def test_hot_day_rank_equals_window_rank(spark, monkeypatch):
         gaps = H.purchase_gaps(rows)
         return sorted(map(tuple, ranked.collect()), key=repr), sorted(map(tuple, gaps.collect()), key=repr)
 
-    hot = H._hot_days(rows, 1000)
+    hot = H._hot_days(H._day_counts(rows), 1000)
     assert hot is not None and hot.count() == 2  # the dated and the undated hot day
     hot_ranked, hot_gaps = run(1000)
     plain_ranked, plain_gaps = run(10 ** 9)
@@ -167,6 +167,6 @@ def test_hot_days_stay_within_the_broadcast_bound(spark, monkeypatch):
     from marginkit.operators import joins
     rows = clean_ownership(_hot_day_rows(spark))
     monkeypatch.setattr(joins, "DEFAULT_BROADCAST_ROWS", 1)
-    assert H._hot_days(rows, 1000) is None
+    assert H._hot_days(H._day_counts(rows), 1000) is None
     monkeypatch.setattr(joins, "DEFAULT_BROADCAST_ROWS", 2)
-    assert H._hot_days(rows, 1000).count() == 2
+    assert H._hot_days(H._day_counts(rows), 1000).count() == 2
