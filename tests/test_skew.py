@@ -170,3 +170,18 @@ def test_hot_days_stay_within_the_broadcast_bound(spark, monkeypatch):
     assert H._hot_days(H._day_counts(rows), 1000) is None
     monkeypatch.setattr(joins, "DEFAULT_BROADCAST_ROWS", 2)
     assert H._hot_days(H._day_counts(rows), 1000).count() == 2
+
+
+def test_hot_days_are_cut_out_before_the_shuffle(spark, monkeypatch):
+    """With hot days present, the normal rows are cut by a broadcast anti join on
+    the bounded hot-day keys (map side), before any shuffle. (The hot branch is
+    checkpointed after its range sort, so its broadcast semi joins ran inside
+    that materialization and are not part of this plan.)"""
+    from marginkit.operators import history as H
+    monkeypatch.setattr(H, "HOT_DAY_ROWS", 1000)
+    df = H.history_rows(clean_ownership(_hot_day_rows(spark)))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert any("BroadcastHashJoin" in line and "LeftAnti" in line for line in plan.splitlines()), plan
+    for line in plan.splitlines():
+        if "SortMergeJoin" in line or "ShuffledHashJoin" in line:
+            assert "LeftAnti" not in line and "LeftSemi" not in line, line
