@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dup, quality, url_rules, warc
+from . import decontaminate, mixing, near_dup, pii, quality, url_rules, warc
 from .common import read
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
@@ -36,6 +36,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(read(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.find_hits(docs, read(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -44,4 +48,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_warc, op5_near_dup, op7_url_rules, op8_mixing, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_warc, op5_near_dup, op7_url_rules, op8_mixing, op9_pii, op10_decontaminate)}
