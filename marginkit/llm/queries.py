@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dup, pii, quality, url_rules, warc
+from . import decontaminate, html_text, mixing, near_dup, pii, quality, url_rules, warc
 from .common import read
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
@@ -24,6 +24,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, folder)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("digest", "class")
 
@@ -48,4 +52,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_warc, op5_near_dup, op7_url_rules, op8_mixing, op9_pii, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_warc, op4_html_text, op5_near_dup, op7_url_rules, op8_mixing, op9_pii, op10_decontaminate)}
