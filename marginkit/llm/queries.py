@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, near_dup, pii, quality, url_rules, warc
+from . import decontaminate, html_text, language, mixing, near_dup, pii, quality, url_rules, warc
 from .common import read
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
@@ -19,6 +19,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("_row.doc_id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train(read(spark, sf_dir, "documents").select("text", "lang"))
+    return language.identify(read(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.page_records(spark, folder)
@@ -52,4 +57,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_warc, op4_html_text, op5_near_dup, op7_url_rules, op8_mixing, op9_pii, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language, op3_warc, op4_html_text, op5_near_dup, op7_url_rules, op8_mixing, op9_pii, op10_decontaminate)}
