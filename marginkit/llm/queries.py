@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, mixing, near_dup, pii, quality, url_rules, warc
+from . import decontaminate, html_text, katz, language, mixing, near_dup, pii, quality, url_rules, warc
 from .common import read
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
@@ -37,6 +37,12 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("digest", "class")
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", (crc % 5 == 1).alias("held_out"), "text")
+    return katz.score_corpus(docs)
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -57,4 +63,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language, op3_warc, op4_html_text, op5_near_dup, op7_url_rules, op8_mixing, op9_pii, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_language, op3_warc, op4_html_text, op5_near_dup, op6_katz, op7_url_rules, op8_mixing, op9_pii, op10_decontaminate)}
