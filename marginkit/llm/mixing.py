@@ -32,12 +32,16 @@ CELLS = 1024              # cells of one histogram
 EXACT_ROWS = 100_000      # a cell of at most so many copies is sorted as it is
 
 
+def _sized_columns(seed: str, key: str, text: str, source: str) -> list:
+    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    order = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return [F.col(key).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), order.alias("_order"),
+            F.conv(F.substring(order, 1, 8), 16, 10).cast("long").alias("_at")]
+
+
 def sized(docs: DataFrame, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Narrow table of the documents: id, source, words and place in the shuffle (0 to 2^32)."""
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words.alias("size"),
-                       digest.alias("_order"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("_at"))
+    return docs.select(*_sized_columns(seed, f"`{key}`", f"`{text}`", f"`{source}`"))
 
 
 def targets(sources: DataFrame, weights=(3, 1, 2), share: float = 1.5, passes: int = 2) -> DataFrame:
@@ -101,6 +105,22 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, passes: int = 2,
                     (F.col("size") * F.col("copies")).alias("taken")))
 
 
+def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, passes: int = 2, seed: str = "mix",
+                    key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents in the mix, with the number of times each is taken as ``copies`` (an
+    input column of that name is replaced). Rows are told apart by id, source, words and,
+    where these repeat, by a running number."""
+    kept = [c for c in docs.columns if c != "copies"]
+    slot = F.concat_ws("|", "_order", "size", F.col("source").isNull(), F.coalesce("source", F.lit("")))
+    turn = F.row_number().over(Window.partitionBy("_slot").orderBy("_slot"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), *_sized_columns(seed, f"`{key}`", f"`{text}`", f"`{source}`"))
+    rows = rows.select("_row", slot.alias("_slot")).withColumn("_turn", turn)
+    found = mix(docs, weights, share, passes, seed, key, text, source).where("copies > 0")
+    order = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    found = found.withColumn("_order", order).select("copies", slot.alias("_slot")).withColumn("_turn", turn)
+    return rows.join(found, ["_slot", "_turn"]).select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], "copies")
+
+
 def _cut(copies: DataFrame, budget: float):
     """The last copy within the budget, as a struct literal to compare with (None: none).
 
