@@ -3,11 +3,13 @@
 
 Every query starts from the driver's tables through the adapter, so its work
 grows with the scale factor. ``oracle.oracle_sql()`` holds the DuckDB twin of
-each key (except ``score_margin``, an iterative model fit: rows-only).
+each key except ``score_margin`` (an iterative model fit); the tests check its
+predictions, and ``score_linear`` applies given coefficients with an exact twin.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +19,11 @@ from . import plans
 from . import schema as S
 from .operators import baseline as B
 from .operators import history as H
-from .operators.clean import nonzero_records, zero_records
+from .operators.clean import nonzero_records, null_rows, zero_records, zero_rows
 from .operators.features import feature_columns
 from .operators.impute import group_median
 from .operators.quality import summary_stats, value_counts
-from .operators.score import fit_margin_model, score_margin
+from .operators.score import fit_margin_model, score_linear, score_margin
 from .operators.split import rest_after, split_parts, split_side
 from .session import ensure_checkpoint_dir, scratch_path
 from .sources import adapter
@@ -80,15 +82,35 @@ def _baseline_extract(spark, d):
     return _snapshot(spark, d)
 
 
-def _cohort(spark: SparkSession, d: str) -> DataFrame:
+def _cohort(spark: SparkSession, d: str, flow: S.Flow = US) -> DataFrame:
     """S7 + S8: the new model's scored customers written as headered CSV by the
-    executors (to the shared checkpoint folder) and read back with a schema."""
-    from pyspark.sql.types import _parse_datatype_string
+    executors (to the shared checkpoint folder), columns in another order than the
+    schema's, and read back by name."""
+    from pyspark.sql import types as T
 
     from .jobs import COHORT_SCHEMA
     path = scratch_path(spark, "cohort-csv")
-    write_table(_scoring_us(spark, d), path, "csv")
-    return read_cohort_csv(spark, path, _parse_datatype_string(COHORT_SCHEMA))
+    scored = plans.scoring_features(_live(spark, d), _hist(spark, d), flow)
+    write_table(scored.select(*reversed(scored.columns)), path, "csv")
+    return read_cohort_csv(spark, path, T.DataType.fromDDL(COHORT_SCHEMA))
+
+
+def _scoring_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The scoring table as the scoring job stores it before it is cut into parts."""
+    path = scratch_path(spark, "scoring-features")
+    write_table(_scoring_us(spark, d), path)
+    return read_table(spark, path)
+
+
+def _saved_table(spark: SparkSession, d: str) -> DataFrame:
+    """The all-customer features saved as an external ORC table and read by name."""
+    name, path = f"marginkit_saved_{uuid.uuid4().hex[:8]}", scratch_path(spark, "saved-table")
+    write_table(plans.features_all_customers(_live(spark, d), SECOND), path, "orc", table=name)
+    return spark.table(name)
+
+
+def _linear_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LINEAR_WEIGHTS, "term string, weight double")
 
 
 def _sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -120,10 +142,22 @@ def _sql_surface(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(SQL_SURFACE.format(p="mk_"))
 
 
+# Example coefficients of the linear form (not fitted): a base margin, half the customer's
+# own mean, and steps for the bands.
+LINEAR_WEIGHTS = [
+    ("intercept", 5000.0), ("avg_imputed_contribution_margin", 0.5), ("avg_vehicle_age", -125.5),
+    ("Freq_purchase=Two", 310.25), ("Freq_purchase=Three", 720.5), ("Freq_purchase=More_than_Three", 1100.75),
+    ("AVERAGE_TIME_TO_PURCHASE=Repurchased_WITHIN_3_yrs", 450.0), ("lease_purchase_flag=One", -80.25),
+]
+
+
 def _columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*cols)
 
 
+SUMMARY_COLUMNS = ["Freq_purchase", "AVERAGE_TIME_TO_PURCHASE", "lease_purchase_flag",
+                   "avg_imputed_contribution_margin", "avg_vehicle_age", "Latest_CM", "consumer_id"]
+
 FEATURES_FULL = ["consumer_id", "freq_excluding_latest", "avg_contribution_margin_new", "AVERAGE_TIME_TO_PURCHASE",
                  "seg_car", "seg_suv", "seg_truck", "avg_vehicle_age", "no_of_lease_purchases", S.LIFESTAGE]
 
@@ -184,17 +218,26 @@ def queries() -> dict[str, Query]:
         "baseline_imputed": lambda s, d: plans.baseline_predictions(_hist(s, d), US),
         "baseline_match": lambda s, d: plans.baseline_match(_live(s, d), _hist(s, d), US),
         "baseline_match_second": lambda s, d: plans.baseline_match(_live(s, d), _hist(s, d), SECOND),
+        "cohort_match_second": lambda s, d: plans.baseline_cohort(_live(s, d), _hist(s, d), _cohort(s, d, SECOND), SECOND),
+        "baseline_audit_second": lambda s, d: plans.baseline_audit(_live(s, d), _hist(s, d), _cohort(s, d, SECOND), SECOND),
+        "smape_compare_second": lambda s, d: plans.smape_compare(_live(s, d), _hist(s, d), SECOND),
         "cohort_match": lambda s, d: plans.baseline_cohort(_live(s, d), _hist(s, d), _cohort(s, d), US),
         "baseline_audit": lambda s, d: plans.baseline_audit(_live(s, d), _hist(s, d), _cohort(s, d), US),
         "smape_compare": lambda s, d: plans.smape_compare(_live(s, d), _hist(s, d), US),
         # parts, audits, sinks, model
-        "split_parts": lambda s, d: split_parts(_scoring_us(s, d), 3).select(S.CUSTOMER, "part"),
-        "left_anti_rest": lambda s, d: _rest_after_first_part(_scoring_us(s, d)),
+        "split_parts": lambda s, d: split_parts(_scoring_stored(s, d), 3).select(S.CUSTOMER, "part"),
+        "left_anti_rest": lambda s, d: _rest_after_first_part(_scoring_stored(s, d)),
         "quality_profile": lambda s, d: plans.training_quality_profile(_live(s, d), US),
+        "scoring_profile": lambda s, d: plans.scoring_quality_profile(_live(s, d), _hist(s, d), US),
+        "baseline_profile": lambda s, d: plans.baseline_quality_profile(_hist(s, d), US),
+        "null_rows": lambda s, d: null_rows(B.baseline_margin(_baseline_extract(s, d)), "avg_cm"),
+        "zero_rows": lambda s, d: zero_rows(_snapshot(s, d), S.MARGIN),
         "value_counts": lambda s, d: value_counts(plans.training_table(_live(s, d)),
                                                   ["Freq_purchase", "lease_purchase_flag", "AVERAGE_TIME_TO_PURCHASE"]),
         "summary_stats": lambda s, d: summary_stats(_scoring_us(s, d),
-                                                    ["avg_imputed_contribution_margin", "avg_vehicle_age", "Latest_CM"]),
+                                                    SUMMARY_COLUMNS),
+        "saved_table": _saved_table,
+        "score_linear": lambda s, d: score_linear(_scoring_us(s, d), _linear_weights(s)),
         "sink_roundtrip": _sink_roundtrip,
         "sql_surface": _sql_surface,
         "sorted_output": lambda s, d: _sorted(plans.training_table(_live(s, d))),

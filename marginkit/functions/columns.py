@@ -28,18 +28,17 @@ DAYS_PER_YEAR = 365
 RECENCY_EDGES_YEARS = (3, 5)
 
 
-def col(name: str) -> Column:
-    return F.col(name)
-
-
 def clean_int(c: Column) -> Column:
-    """Trimmed digit string -> int, anything else -> NULL (never raises).
+    """Trimmed text -> int as a bare (non-ANSI) cast does: an optional sign, digits, and a
+    fraction that is cut off (``'2019.0'`` and ``'+2019'`` give 2019). Anything else, or
+    a number outside the int range, gives NULL and never raises."""
+    number = F.regexp_extract(F.trim(c), r"^([+-]?[0-9]+)([.][0-9]*)?$", 1)
+    return F.when(number != "", number.try_cast("int"))
 
-    Stricter than a bare cast: ``'2019.0'`` and ``'abc'`` give NULL, ``' 2019 '``
-    gives 2019, on every engine alike.
-    """
-    t = F.trim(c)
-    return F.when(t.rlike(r"^-?[0-9]+$"), t.try_cast("int"))
+
+def rejected_int(c: Column) -> Column:
+    """True where a non-NULL text is no int to ``clean_int``."""
+    return c.isNotNull() & clean_int(c).isNull()
 
 
 def as_margin(c: Column) -> Column:

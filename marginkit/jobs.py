@@ -1,9 +1,11 @@
 """Command-line jobs: the source's workflow as batch runs over real tables.
 
     python -m marginkit.jobs training  --live PATH --out DIR [--country USA] [--fit-on all|train]
+    python -m marginkit.jobs fit       --live PATH --out DIR [--training PATH]
+    python -m marginkit.jobs score     --model DIR --features PATH --out DIR
     python -m marginkit.jobs scoring   --live PATH --history PATH --out DIR [--country USA]
     python -m marginkit.jobs all-customers --live PATH --out DIR [--country CAN]
-    python -m marginkit.jobs compare   --live PATH --history PATH --cohort CSV_DIR --out DIR
+    python -m marginkit.jobs compare   --live PATH --history PATH --cohort CSV_DIR --out DIR [--predictions PATH]
     python -m marginkit.jobs demo      --sf-dir /root/testdata/sf0.01 --out DIR
 
 Inputs are Parquet paths (or catalog tables with ``--table``) in the purchase
@@ -21,17 +23,20 @@ import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import plans
 from . import schema as S
+from .operators.baseline import cohort_match
 from .operators.evaluate import smape
 from .operators.quality import value_counts
+from .operators.score import fit_margin_model, load_model, save_model, score_margin
 from .operators.split import split_parts
 from .plans.views import sorted_output
-from .session import build_session
+from .session import build_session, drop_scratch
 from .sources import adapter
-from .sources.tables import read_cohort_csv, read_table, write_table
+from .sources.tables import bad_cohort_rows, read_cohort_csv, read_table, write_table
 
 # The source's own periods (history 2003-2021, cut at the end of 2017,
 # snapshot of 2022-01-02 holding purchases to 2021-12-31, outcomes from 2022, recent year 2021).
@@ -54,71 +59,105 @@ def _load(spark: SparkSession, path_or_table: str, table: bool) -> DataFrame:
     return spark.table(path_or_table) if table else read_table(spark, path_or_table)
 
 
-SORT_OUTPUT = False  # set by --sorted: order final tables by customer at the sink (a range-sort shuffle)
-
-
-def _save(df: DataFrame, out: str, name: str, csv: bool = False) -> str:
+def _save(df: DataFrame, out: str, name: str, csv: bool = False, sort: bool = False) -> str:
+    """Write as Parquet; the CSV copy is made from the Parquet just written, so the flow
+    runs once. ``sort`` orders the table by customer at the sink (a range-sort shuffle)."""
     path = os.path.join(out, name)
-    if SORT_OUTPUT and S.CUSTOMER in df.columns:
+    if sort and S.CUSTOMER in df.columns:
         df = sorted_output(df, S.CUSTOMER)
     write_table(df, path, "parquet")
     if csv:
-        write_table(df, path + "_csv", "csv")
+        stored = read_table(df.sparkSession, path)
+        write_table(sorted_output(stored, S.CUSTOMER) if sort and S.CUSTOMER in df.columns else stored, path + "_csv", "csv")
     return path
 
 
-def run_training(spark, live, flow, out, fit_on="all") -> dict:
+def run_training(spark, live, flow, out, fit_on="all", sort=False) -> dict:
     """C2 + C3: training and out-of-time test tables (Parquet + CSV for the
-    modelling tool), with their value counts."""
+    modelling tool), with their value counts and the audit. The medians are fitted once."""
     written = {}
+    medians = plans.fit_medians(live, flow, fit_on)
+    imputed = plans.imputed_training_rows(live, flow, medians=medians)
     for side, name in (("train", "training_table"), ("test", "test_table")):
-        t = plans.training_table(live, flow, side, fit_on=fit_on)
-        written[name] = _save(t, out, name, csv=True)
+        t = plans.training_table(live, flow, side, imputed=imputed)
+        written[name] = _save(t, out, name, csv=True, sort=sort)
         written[name + "_value_counts"] = _save(
             value_counts(read_table(spark, written[name]),
                          ["Freq_purchase", "lease_purchase_flag", "AVERAGE_TIME_TO_PURCHASE"]),
             out, name + "_value_counts")
-    written["quality_profile"] = _save(plans.training_quality_profile(live, flow), out, "quality_profile")
+    written["quality_profile"] = _save(plans.training_quality_profile(live, flow, medians), out, "quality_profile")
     return written
 
 
-def run_scoring(spark, live, history, flow, out, n_parts=3) -> dict:
+def run_fit(spark, live, flow, out, fit_on="all", training: str | None = None) -> dict:
+    """Fit the margin model on a stored training table (made first if none is named)
+    and store it."""
+    path = training or run_training(spark, live, flow, out, fit_on)["training_table"]
+    model = fit_margin_model(read_table(spark, path))
+    save_model(model, os.path.join(out, "margin_model"))
+    return {"training_table": path, "margin_model": os.path.join(out, "margin_model")}
+
+
+def run_score(spark, model_path, features_path, out) -> dict:
+    """Predictions of a stored model for a stored feature table."""
+    scored = score_margin(load_model(model_path), read_table(spark, features_path))
+    return {"predictions": _save(scored, out, "predictions", csv=True)}
+
+
+def run_scoring(spark, live, history, flow, out, n_parts=3, sort=False) -> dict:
     """Scoring features with the actual outcome (the cohort file read by the
-    comparison), and the table cut into parts as the source exports it."""
-    written = {"scoring_features": _save(plans.scoring_features(live, history, flow), out, "scoring_features", csv=True)}
+    comparison), the table cut into parts as the source exports it, and the audit."""
+    written = {"scoring_features": _save(plans.scoring_features(live, history, flow), out, "scoring_features", csv=True, sort=sort)}
     feats = read_table(spark, written["scoring_features"])
     parts = split_parts(feats, n_parts)
     written["scoring_parts"] = os.path.join(out, "scoring_parts")
     write_table(parts, written["scoring_parts"], "csv", partition_by=["part"])
+    written["scoring_profile"] = _save(plans.scoring_quality_profile(live, history, flow), out, "scoring_profile")
     return written
 
 
-def run_all_customers(spark, live, flow, out) -> dict:
+def run_all_customers(spark, live, flow, out, sort=False) -> dict:
     """C4: features of every customer, no target."""
     return {"features_all_customers": _save(plans.features_all_customers(live, flow), out,
-                                            "features_all_customers", csv=True)}
-
-
-def run_compare(spark, live, history, cohort_dir, flow, out, fallback=None) -> dict:
-    """Baseline predictions matched to outcomes, restricted to the new
-    model's cohort (read from its CSV), the no-margin audit and sMAPE of both."""
-    cohort = read_cohort_csv(spark, cohort_dir, _parse_datatype_string(COHORT_SCHEMA))
-    written = {
-        "baseline_match": _save(plans.baseline_match(live, history, flow, fallback), out, "baseline_match", csv=True),
-        "baseline_cohort": _save(plans.baseline_cohort(live, history, cohort, flow, fallback), out, "baseline_cohort"),
-        "baseline_audit": _save(plans.baseline_audit(live, history, cohort, flow, fallback), out, "baseline_audit"),
-    }
-    feats = cohort.selectExpr("consumer_id", "Latest_CM", "avg_imputed_contribution_margin as new_model")
-    base = read_table(spark, written["baseline_cohort"]).selectExpr("consumer_id", "avg_cm_imputed as current_model")
-    written["smape"] = _save(smape(feats.join(base, "consumer_id"),
-                                   {"new_model": "new_model", "current_model": "current_model"}), out, "smape")
+                                            "features_all_customers", csv=True, sort=sort)}
+
+
+def run_compare(spark, live, history, cohort_dir, flow, out, fallback=None, predictions: str | None = None) -> dict:
+    """Baseline predictions matched to outcomes, restricted to the new model's
+    cohort (read from its CSV), the no-margin audit and sMAPE of both models.
+
+    ``predictions`` names a stored table (consumer_id, predicted_margin); without it the
+    cohort's mean imputed margin is scored, and named so. The baseline is computed once;
+    a customer listed twice in the cohort counts twice, once for each listing."""
+    schema = T.DataType.fromDDL(COHORT_SCHEMA)
+    cohort = read_cohort_csv(spark, cohort_dir, schema)
+    written = {"cohort_bad_rows": _save(bad_cohort_rows(spark, cohort_dir, schema), out, "cohort_bad_rows"),
+               "baseline_margins": _save(plans.matched_margins(live, history, flow, fallback), out, "baseline_margins")}
+    matched = read_table(spark, written["baseline_margins"])
+    base = matched.drop("avg_cm")
+    in_cohort = cohort_match(matched, cohort)
+    written["baseline_match"] = _save(base, out, "baseline_match", csv=True)
+    written["baseline_cohort"] = _save(in_cohort.drop("avg_cm"), out, "baseline_cohort")
+    written["baseline_audit"] = _save(in_cohort.select(S.CUSTOMER, "avg_cm"), out, "baseline_audit")
+    written["baseline_profile"] = _save(plans.baseline_quality_profile(history, flow), out, "baseline_profile")
+    if predictions:
+        name = "new_model"
+        scored = cohort.select(S.CUSTOMER, "Latest_CM").join(
+            read_table(spark, predictions).select(S.CUSTOMER, F.col("predicted_margin").alias(name)), S.CUSTOMER)
+    else:
+        name = plans.PROXY
+        scored = cohort.select(S.CUSTOMER, "Latest_CM", F.col("avg_imputed_contribution_margin").alias(name))
+    joined = scored.join(base.select(S.CUSTOMER, F.col("avg_cm_imputed").alias("current_model")), S.CUSTOMER)
+    written["smape"] = _save(smape(joined, {name: name, "current_model": "current_model"}), out, "smape")
     return written
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="marginkit.jobs")
-    p.add_argument("job", choices=["training", "scoring", "all-customers", "compare", "demo"])
+    p.add_argument("job", choices=["training", "fit", "score", "scoring", "all-customers", "compare", "demo"])
     p.add_argument("--live"), p.add_argument("--history"), p.add_argument("--cohort")
+    p.add_argument("--training", help="fit: a stored training table")
+    p.add_argument("--model"), p.add_argument("--features"), p.add_argument("--predictions")
     p.add_argument("--table", action="store_true", help="--live/--history name catalog tables")
     p.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     p.add_argument("--out", required=True)
@@ -130,30 +169,36 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--master", default=None)
     p.add_argument("--sorted", action="store_true", help="order final tables by consumer_id at the sink")
     args = p.parse_args(argv)
-    global SORT_OUTPUT
-    SORT_OUTPUT = args.sorted
 
-    spark = build_session(args.master, 200 if args.master is None else 8)
+    spark = build_session(args.master)
     flow = _flow(args)
     if args.job == "demo":
         live, history = adapter.ownership(spark, args.sf_dir), adapter.ownership_history(spark, args.sf_dir)
         us = S.Flow(S.COUNTRY_US)
-        written = run_training(spark, live, us, os.path.join(args.out, "us"), args.fit_on)
-        written.update(run_scoring(spark, live, history, us, os.path.join(args.out, "us")))
-        written.update(run_compare(spark, live, history, written["scoring_features"] + "_csv", us,
-                                   os.path.join(args.out, "us"), args.fallback))
-        written["second_country"] = run_all_customers(spark, live, S.SECOND_FLOW, os.path.join(args.out, "second"))
+        out = os.path.join(args.out, "us")
+        written = run_training(spark, live, us, out, args.fit_on, args.sorted)
+        written.update(run_fit(spark, live, us, out, training=written["training_table"]))
+        written.update(run_scoring(spark, live, history, us, out, sort=args.sorted))
+        written.update(run_score(spark, written["margin_model"], written["scoring_features"], out))
+        written.update(run_compare(spark, live, history, written["scoring_features"] + "_csv", us, out, args.fallback,
+                                   written["predictions"]))
+        written["second_country"] = run_all_customers(spark, live, S.SECOND_FLOW, os.path.join(args.out, "second"), args.sorted)
+    elif args.job == "score":
+        written = run_score(spark, args.model, args.features, args.out)
     else:
-        live = _load(spark, args.live, args.table)
+        live = _load(spark, args.live, args.table) if args.live else None
         history = _load(spark, args.history, args.table) if args.history else None
         if args.job == "training":
-            written = run_training(spark, live, flow, args.out, args.fit_on)
+            written = run_training(spark, live, flow, args.out, args.fit_on, args.sorted)
+        elif args.job == "fit":
+            written = run_fit(spark, live, flow, args.out, args.fit_on, args.training)
         elif args.job == "scoring":
-            written = run_scoring(spark, live, history, flow, args.out)
+            written = run_scoring(spark, live, history, flow, args.out, sort=args.sorted)
         elif args.job == "all-customers":
-            written = run_all_customers(spark, live, flow, args.out)
+            written = run_all_customers(spark, live, flow, args.out, args.sorted)
         else:
-            written = run_compare(spark, live, history, args.cohort, flow, args.out, args.fallback)
+            written = run_compare(spark, live, history, args.cohort, flow, args.out, args.fallback, args.predictions)
+    drop_scratch(spark)
     print(json.dumps(written, indent=1))
 
 

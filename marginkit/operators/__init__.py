@@ -14,5 +14,5 @@ from .history import (  # noqa: F401
 )
 from .impute import group_median, impute_zero_margin  # noqa: F401
 from .joins import join_checked, materialize  # noqa: F401
-from .quality import profile_stages, quality_profile, summary_stats, value_counts  # noqa: F401
-from .split import global_rank, rest_after, split_customers, split_parts, split_side  # noqa: F401
+from .quality import profile_flags, summary_stats, value_counts  # noqa: F401
+from .split import rest_after, split_parts, split_side  # noqa: F401

@@ -30,24 +30,6 @@ def baseline_margin(extract: DataFrame) -> DataFrame:
         exact_mean(F.sum(_known()), F.count(_known())).alias("avg_cm"))
 
 
-def baseline_stats(extract: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """A10 + A9 inputs in one pass: per retail customer the mean of known
-    margins (``avg_cm``, NULL if none) and the decimal sum and count of known
-    margins in [start, end] (to derive the recent mean without a second scan)."""
-    retail = extract.where(F.col(S.CUSTOMER_TYPE) == S.RETAIL_CODE)
-    in_window = (F.col(S.DATE) >= F.lit(start)) & (F.col(S.DATE) <= F.lit(end))
-    recent = F.when(in_window, _known())
-    return retail.groupBy(S.CUSTOMER).agg(
-        exact_mean(F.sum(_known()), F.count(_known())).alias("avg_cm"),
-        F.sum(recent).alias("recent_sum"), F.count(recent).alias("recent_n"))
-
-
-def recent_mean_of(stats: DataFrame) -> DataFrame:
-    """A9 from ``baseline_stats``: one row, the same value as ``recent_mean``
-    (decimal sums of sums are exact)."""
-    return stats.agg(exact_mean(F.sum("recent_sum"), F.sum("recent_n")).alias("cm_365"))
-
-
 def recent_mean(extract: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """A9 + X13: mean known retail margin of purchases in [start, end], one row.
 
@@ -60,15 +42,17 @@ def recent_mean(extract: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     return rows.agg(exact_mean(F.sum(m), F.count(m)).alias("cm_365"))
 
 
-def baseline_imputed(base: DataFrame, fallback) -> DataFrame:
+def baseline_imputed(base: DataFrame, fallback, keep_raw: bool = False) -> DataFrame:
     """Fill customers without a known margin with ``fallback``: a number
     (the source's hard-coded constant) or a one-row DataFrame such as
-    ``recent_mean`` (applied as a scalar subquery, not a join)."""
+    ``recent_mean`` (applied as a scalar subquery, not a join). ``keep_raw`` also keeps
+    the customer's own mean."""
     if isinstance(fallback, DataFrame):
         fill = fallback.scalar()
     else:
         fill = F.lit(float(fallback))
-    return base.select(S.CUSTOMER, F.coalesce(F.col("avg_cm"), fill.cast("double")).alias("avg_cm_imputed"))
+    raw = ["avg_cm"] if keep_raw else []
+    return base.select(S.CUSTOMER, *raw, F.coalesce(F.col("avg_cm"), fill.cast("double")).alias("avg_cm_imputed"))
 
 
 def match_back(left: DataFrame, outcome_first: DataFrame, columns: list[str] | None = None,

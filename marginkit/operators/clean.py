@@ -11,8 +11,14 @@ from .. import schema as S
 from ..functions.columns import as_margin, clean_int
 
 
-def clean_ownership(df: DataFrame, margin_as: str = S.MARGIN) -> DataFrame:
-    """Trim padded text, digits-only model year to int, margin to decimal(18,2)."""
+def clean_ownership(df: DataFrame, margin_as: str = S.MARGIN, keep_zero_flag: bool = False,
+                    extra: list | None = None) -> DataFrame:
+    """Trim padded text, model year to int, margin to decimal(18,2).
+
+    ``keep_zero_flag`` adds ``_zero``: whether the margin *as stored* is 0 (unknown). A
+    small non-zero margin may round to 0.00 and is still known. ``extra`` columns are
+    computed on the input."""
+    flag = [(F.col(S.MARGIN) == 0).alias("_zero")] if keep_zero_flag else []
     return df.select(
         S.VIN, S.CUSTOMER, S.CYCLE,
         F.trim(F.col(S.MODEL)).alias(S.MODEL),
@@ -20,7 +26,7 @@ def clean_ownership(df: DataFrame, margin_as: str = S.MARGIN) -> DataFrame:
         S.DATE, S.YEAR, S.AGE, S.LEASE,
         F.trim(F.col(S.PLATFORM)).alias(S.PLATFORM),
         F.trim(F.col(S.LIFESTAGE)).alias(S.LIFESTAGE),
-        as_margin(F.col(S.MARGIN)).alias(margin_as),
+        as_margin(F.col(S.MARGIN)).alias(margin_as), *flag, *(extra or []),
     )
 
 

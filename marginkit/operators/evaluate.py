@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..functions.columns import sMAPE_term
 
 SMAPE_DIGITS = 9
@@ -27,10 +26,3 @@ def smape(df: DataFrame, predictions: dict[str, str], actual: str = "Latest_CM")
         "model", F.col("customers").cast("long").alias("customers"),
         F.round(F.col("smape"), SMAPE_DIGITS).alias("smape"))
 
-
-def join_predictions(actuals: DataFrame, *preds: DataFrame) -> DataFrame:
-    """Customers present in every prediction table, with all predictions side by side."""
-    out = actuals
-    for p in preds:
-        out = out.join(p, S.CUSTOMER, "inner")
-    return out

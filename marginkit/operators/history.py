@@ -32,8 +32,13 @@ ROW_FIELDS = (S.VIN, S.MARGIN, S.YEAR, S.AGE, S.LEASE, S.PLATFORM, S.LIFESTAGE,
 DAY_KEYS = (S.CUSTOMER, S.DATE)
 
 
-def _row_struct() -> Column:
-    return F.struct(*[F.col(c) for c in ROW_FIELDS])
+# What the features need of a day's first row. Rows equal in these are interchangeable,
+# so leaving out the other fields does not change the tie-break.
+NARROW_FIELDS = (S.VIN, S.MARGIN, S.YEAR, S.AGE, S.LEASE, S.PLATFORM)
+
+
+def _row_struct(fields=ROW_FIELDS) -> Column:
+    return F.struct(*[F.col(c) for c in fields])
 
 
 def _newest_days() -> Window:
@@ -57,7 +62,7 @@ def day_summary(rows: DataFrame, with_second: bool = False) -> DataFrame:
     """One row per (customer, day): counts and sums of the day's purchases plus
     ``first``, the day's row with the lowest vin (and ``second`` if asked)."""
     if not with_second:
-        return rows.groupBy(*DAY_KEYS).agg(*_day_sums(), F.min(_row_struct()).alias("first"))
+        return rows.groupBy(*DAY_KEYS).agg(*_day_sums(), F.min(_row_struct(NARROW_FIELDS)).alias("first"))
     # The second row of a day needs an order inside the (customer, day) group.
     # ``_wd <= 2`` on a row_number becomes a WindowGroupLimit that Spark also runs
     # before the shuffle, so each map task sends at most two rows per day and a
@@ -247,24 +252,22 @@ def _rank_in_day(joined: DataFrame) -> DataFrame:
 
 
 def _day_counts(rows: DataFrame) -> DataFrame:
-    """Row counts per (customer, day key). They feed both the hot-day check and
-    the day windows, so they are computed once and cut at day grain (which is
-    also what a lost executor recomputes from)."""
-    from .joins import materialize
-    return materialize(rows.withColumn("_dk", _day_key()).groupBy(S.CUSTOMER, "_dk").agg(
+    """Row counts per (customer, day key). Lazy: the hot-day check below uses the count
+    alone, the day windows the rest; neither writes a table that grows with the rows."""
+    return rows.withColumn("_dk", _day_key()).groupBy(S.CUSTOMER, "_dk").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(S.DATE).alias("n_dated"),
         F.sum(indicator(F.col(S.CYCLE) == S.NEW_VEHICLE_CYCLE)).alias("n_new"),
-        F.max(S.DATE).alias(S.DATE)))
+        F.max(S.DATE).alias(S.DATE))
 
 
 def _hot_days(days: DataFrame, limit: int) -> DataFrame | None:
-    """(customer, day key) pairs of the materialized day counts with more than
-    ``limit`` rows, or None if there are none. Always few enough to broadcast: if
-    more than the broadcast bound B exceed ``limit``, the limit is raised to
-    ceil(T / B), T the rows of those days; fewer than B days can exceed it, and
+    """(customer, day key) pairs with more than ``limit`` rows, or None if there are none.
+    Only these keys are written (a scan of the two key columns, no rows). Always few
+    enough to broadcast: if more than the broadcast bound B exceed ``limit``, the limit is
+    raised to ceil(T / B), T the rows of those days; fewer than B days can exceed it, and
     every other day's window group is bounded by it."""
-    from .joins import DEFAULT_BROADCAST_ROWS
-    counts = days.where(F.col("n_rows") > limit)
+    from .joins import DEFAULT_BROADCAST_ROWS, materialize
+    counts = materialize(days.where(F.col("n_rows") > limit).select(S.CUSTOMER, "_dk", "n_rows"))
     n, total = counts.agg(F.count(F.lit(1)), F.sum("n_rows")).first()
     if n > DEFAULT_BROADCAST_ROWS:
         counts = counts.where(F.col("n_rows") > -(-total // DEFAULT_BROADCAST_ROWS))

@@ -3,11 +3,13 @@
 Plan: the medians are one ``percentile_approx`` aggregate per (model, year). It is
 a partial (map-side) aggregate, so a model-year holding a third of all rows is
 reduced to one sketch per map task before the shuffle. The median table is then
-size-checked and broadcast, and the extract is read **once**: every row with a
-known or zero margin probes the medians, zero rows take the median (or vanish
-when their group has none), non-zero rows pass through. This equals the source's
-"non-zero rows UNION ALL (zero rows JOIN medians)" without a second scan, and
-the big side is never shuffled on the (possibly hot) model-year key.
+size-checked and broadcast. The extract is read twice: once by the job that fits and
+stores the medians (it runs while the plan is being built), once by the rows: every
+row with a known or zero margin probes the medians, zero rows take the median (or
+vanish when their group has none), non-zero rows pass through. The source's "non-zero
+rows UNION ALL (zero rows JOIN medians)" scans it three times. The big side is never
+shuffled on the (possibly hot) model-year key. Whether a margin is zero is tested on
+the stored value, before it is rounded to cents.
 """
 
 from __future__ import annotations
@@ -32,21 +34,24 @@ def group_median(df: DataFrame, keys=MEDIAN_KEYS, column: str = S.MARGIN,
 
 def impute_zero_margin(extract: DataFrame, retail: bool = False, keys=MEDIAN_KEYS,
                        medians_from: DataFrame | None = None,
-                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                       medians: DataFrame | None = None) -> DataFrame:
     """Replace zero margins with the median of the non-zero margins of the same
     (model, acquisition year); zero rows without such a group are dropped, rows
     with a NULL margin are in neither set and dropped too.
 
     ``medians_from`` lets the medians be fitted on other rows (e.g. the training
     side of a split, an extract of the same shape); by default they come from
-    the non-zero rows of ``extract`` itself.
+    the non-zero rows of ``extract`` itself. ``medians`` passes a table already fitted by
+    ``group_median`` instead.
     """
     source = retail_only(extract) if retail else extract
-    rows = clean_ownership(source.where(F.col(S.MARGIN).isNotNull()))
-    fit_on = nonzero_records(medians_from, retail) if medians_from is not None else rows.where(F.col(S.MARGIN) != 0)
-    medians = group_median(fit_on, keys).withColumnRenamed(S.MARGIN, "_median")
-    joined = join_checked(rows, medians, list(keys), "left", max_broadcast_rows)
-    m = F.col(S.MARGIN)
-    return (joined.where((m != 0) | F.col("_median").isNotNull())
-            .withColumn(S.MARGIN, F.when(m == 0, F.col("_median")).otherwise(m))
-            .select(*rows.columns))
+    rows = clean_ownership(source.where(F.col(S.MARGIN).isNotNull()), keep_zero_flag=True)
+    if medians is None:
+        fit_on = nonzero_records(medians_from, retail) if medians_from is not None else rows.where(~F.col("_zero"))
+        medians = group_median(fit_on, keys)
+    joined = join_checked(rows, medians.withColumnRenamed(S.MARGIN, "_median"), list(keys), "left", max_broadcast_rows)
+    zero = F.col("_zero")
+    return (joined.where(~zero | F.col("_median").isNotNull())
+            .withColumn(S.MARGIN, F.when(zero, F.col("_median")).otherwise(F.col(S.MARGIN)))
+            .select(*[c for c in rows.columns if c != "_zero"]))

@@ -7,10 +7,9 @@ all metrics of a table, and several tables can be profiled in one job.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 
@@ -18,48 +17,35 @@ STATISTICS = ("count", "mean", "stddev", "min", "p25", "p50", "p75", "max")
 STAT_DIGITS = 6
 
 
-def quality_profile(df: DataFrame, stage: str, margin: str | None = S.MARGIN) -> DataFrame:
-    """A11 + A12 + F12 + F13: rows, distinct customers, NULL and zero margins."""
-    aggs = [F.count(F.lit(1)).alias("n_rows"),
-            F.countDistinct(S.CUSTOMER).alias("n_customers")]
-    if margin:
-        aggs += [F.count_if(F.col(margin).isNull()).alias("n_null_margin"),
-                 F.count_if(F.col(margin) == 0).alias("n_zero_margin")]
-    else:
-        aggs += [F.lit(None).cast("long").alias("n_null_margin"),
-                 F.lit(None).cast("long").alias("n_zero_margin")]
-    return df.agg(*aggs).select(F.lit(stage).alias("stage"), "*")
-
-
-def profile_stages(stages: dict[str, DataFrame], margin: str | None = S.MARGIN) -> DataFrame:
-    """Profiles of several tables as one DataFrame (one row per stage)."""
-    return reduce(DataFrame.unionByName, [quality_profile(df, name, margin) for name, df in stages.items()])
-
-
-def profile_flags(df: DataFrame, stages: dict[str, tuple[Column, Column]]) -> DataFrame:
+def profile_flags(df: DataFrame, stages: dict[str, tuple[Column, Column]], rejected: Column | None = None) -> DataFrame:
     """A12 for several stages of one flow in a single scan.
 
-    ``stages`` maps a stage name to (membership condition, margin column). Rows
+    ``stages`` maps a stage name to (membership condition, margin column); ``rejected``
+    marks rows whose model year could not be read as a number. Rows
     are first reduced per customer (partial aggregation absorbs a hot customer),
     then summed: distinct customers are the customers with a non-zero count, so
     no ``countDistinct`` (and no row expansion per stage) is needed.
     """
     per_customer = []
+    bad = F.lit(False) if rejected is None else rejected
     for i, (cond, margin) in enumerate(stages.values()):
         per_customer += [F.count_if(cond).alias(f"r{i}"),
                          F.count_if(cond & margin.isNull()).alias(f"n{i}"),
-                         F.count_if(cond & (margin == 0)).alias(f"z{i}")]
+                         F.count_if(cond & (margin == 0)).alias(f"z{i}"),
+                         F.count_if(cond & bad).alias(f"b{i}")]
     pc = df.groupBy(S.CUSTOMER).agg(*per_customer)
     known = F.col(S.CUSTOMER).isNotNull()
     totals = []
     for i in range(len(stages)):
         totals += [F.sum(f"r{i}").alias(f"r{i}"), F.count_if(known & (F.col(f"r{i}") > 0)).alias(f"c{i}"),
-                   F.sum(f"n{i}").alias(f"n{i}"), F.sum(f"z{i}").alias(f"z{i}")]
+                   F.sum(f"n{i}").alias(f"n{i}"), F.sum(f"z{i}").alias(f"z{i}"),
+                   F.sum(f"b{i}").alias(f"b{i}")]
     wide = pc.agg(*totals)
     rows = [F.struct(F.lit(name).alias("stage"), F.coalesce(F.col(f"r{i}"), F.lit(0)).cast("long").alias("n_rows"),
                      F.col(f"c{i}").cast("long").alias("n_customers"),
                      F.coalesce(F.col(f"n{i}"), F.lit(0)).cast("long").alias("n_null_margin"),
-                     F.coalesce(F.col(f"z{i}"), F.lit(0)).cast("long").alias("n_zero_margin"))
+                     F.coalesce(F.col(f"z{i}"), F.lit(0)).cast("long").alias("n_zero_margin"),
+                     F.coalesce(F.col(f"b{i}"), F.lit(0)).cast("long").alias("n_rejected_year"))
             for i, name in enumerate(stages)]
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
@@ -73,21 +59,32 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def summary_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, stddev, min, quartiles and max per numeric column, as
-    typed (column, statistic, value) rows. Quartiles are ``percentile_approx``
-    (an element of the column), like ``DataFrame.summary``."""
+    """Count, mean, stddev, min, quartiles and max per column, as (column, statistic,
+    value) rows, like ``DataFrame.summary``. ``value`` is text: numbers are rounded to
+    ``STAT_DIGITS`` and written with that many decimals. A text column has count, min and
+    max (by code point) and NULL for the rest. Quartiles are ``percentile_approx`` (an
+    element of the column). One aggregation for all columns."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     aggs = []
     for c in columns:
+        if c in text:
+            aggs += [F.count(c).alias(f"{c}__count"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
+            continue
         x = F.col(c).cast("double")
-        aggs += [F.count(x).cast("double").alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
+        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__stddev"), F.min(x).alias(f"{c}__min"),
                  F.percentile_approx(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
     wide = df.agg(*aggs)
     parts = []
     for c in columns:
         for stat in STATISTICS:
-            value = (F.col(f"{c}__q")[{"p25": 0, "p50": 1, "p75": 2}[stat]] if stat.startswith("p")
-                     else F.col(f"{c}__{stat}"))
-            parts.append(F.struct(F.lit(c).alias("column"), F.lit(stat).alias("statistic"),
-                                  F.round(value, STAT_DIGITS).alias("value")))
+            if stat == "count":
+                value = F.col(f"{c}__count").cast("string")
+            elif c in text:
+                value = F.col(f"{c}__{stat}") if stat in ("min", "max") else F.lit(None).cast("string")
+            else:
+                number = (F.col(f"{c}__q")[{"p25": 0, "p50": 1, "p75": 2}[stat]] if stat.startswith("p")
+                          else F.col(f"{c}__{stat}"))
+                value = F.round(number, STAT_DIGITS).cast(f"decimal(38,{STAT_DIGITS})").cast("string")
+            parts.append(F.struct(F.lit(c).alias("column"), F.lit(stat).alias("statistic"), value.alias("value")))
     return wide.select(F.explode(F.array(*parts)).alias("s")).select("s.*")

@@ -1,4 +1,4 @@
-"""Fit and apply a margin model with Spark ML, distributed end to end.
+"""Fit, store, load and apply a margin model with Spark ML, distributed end to end.
 
 The source trains in an external AutoML service and loads a code-generated
 predictor it never calls. Here the model is a Spark ML pipeline fitted on the
@@ -26,7 +26,7 @@ def margin_pipeline(reg_param: float = 0.1) -> Pipeline:
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep") for c in CATEGORICAL]
     ohe = OneHotEncoder(inputCols=[f"{c}__i" for c in CATEGORICAL],
                         outputCols=[f"{c}__v" for c in CATEGORICAL], handleInvalid="keep")
-    asm = VectorAssembler(inputCols=[f"{c}__v" for c in CATEGORICAL] + [f"{c}__d" for c in NUMERIC],
+    asm = VectorAssembler(inputCols=[f"{c}__v" for c in CATEGORICAL] + [f"{c}__{k}" for c in NUMERIC for k in ("d", "missing")],
                           outputCol="features", handleInvalid="keep")
     reg = LinearRegression(featuresCol="features", labelCol="label", regParam=reg_param,
                            elasticNetParam=0.0)
@@ -34,7 +34,12 @@ def margin_pipeline(reg_param: float = 0.1) -> Pipeline:
 
 
 def _prepare(df: DataFrame) -> DataFrame:
-    cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"{c}__d") for c in NUMERIC]
+    """Numeric inputs as double, a missing one as 0 beside an indicator ``__missing``, so
+    that an unknown vehicle age does not read as a new vehicle."""
+    cols = []
+    for c in NUMERIC:
+        cols += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"{c}__d"),
+                 F.col(c).isNull().cast("double").alias(f"{c}__missing")]
     extra = [F.col(TARGET).cast("double").alias("label")] if TARGET in df.columns else []
     return df.select(S.CUSTOMER, *CATEGORICAL, *cols, *extra)
 
@@ -54,3 +59,48 @@ def score_margin(model: PipelineModel, features: DataFrame) -> DataFrame:
     """Apply a fitted model: one prediction per customer."""
     out = model.transform(_prepare(features))
     return out.select(S.CUSTOMER, F.col("prediction").alias("predicted_margin"))
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+#: categories the linear form knows, by column; a row gets the weight of its category
+LINEAR_TERMS = {
+    "Freq_purchase": ("One", "Two", "Three", "More_than_Three"),
+    "AVERAGE_TIME_TO_PURCHASE": ("Purchased_only_once", "Repurchased_WITHIN_3_yrs", "Repurchased_BTWN_3_5_yrs",
+                                 "Repurchased_AFTER_5_yrs"),
+    "lease_purchase_flag": ("Zero", "One"),
+}
+
+
+def score_linear(features: DataFrame, weights: DataFrame) -> DataFrame:
+    """C9 with given coefficients: ``weights`` is a table (term, weight), terms being
+    ``intercept``, a numeric column, or ``column=category``. The prediction is their sum
+    in whole cents, so it does not depend on the order of adding; a NULL input or a term
+    without weight adds 0. The weights are a few named terms, grouped to one row and used
+    as a scalar subquery."""
+    table = weights.where(F.col("term").isin(_linear_names())).agg(
+        F.map_from_entries(F.collect_list(F.struct("term", F.col("weight").cast("double")))).alias("w")).scalar()
+
+    def weight(term):
+        return F.coalesce(F.element_at(table, F.lit(term)), F.lit(0.0))
+
+    def cents(value):
+        return F.coalesce(F.round(value * F.lit(100.0)).cast("long"), F.lit(0).cast("long"))
+
+    total = cents(weight("intercept"))
+    for c in NUMERIC:
+        total = total + cents(weight(c) * F.col(c).cast("double"))
+    for c, names in LINEAR_TERMS.items():
+        for name in names:
+            total = total + F.when(F.col(c) == name, cents(weight(f"{c}={name}"))).otherwise(F.lit(0).cast("long"))
+    return features.select(S.CUSTOMER, (total.cast("double") / F.lit(100.0)).alias("predicted_margin"))
+
+
+def _linear_names() -> list[str]:
+    return ["intercept", *NUMERIC, *[f"{c}={n}" for c, names in LINEAR_TERMS.items() for n in names]]

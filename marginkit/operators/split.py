@@ -8,12 +8,11 @@ so it is identical at any partitioning and after any task retry.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import hash_bucket
-from .joins import materialize
 
 TRAIN_PERCENT = 70
 
@@ -29,69 +28,65 @@ def split_side(rows: DataFrame, side: str, train_percent: int = TRAIN_PERCENT,
     return rows.where(in_train if side == "train" else ~in_train)
 
 
-def split_customers(customers: DataFrame, train_percent: int = TRAIN_PERCENT,
-                    salt: str = "") -> tuple[DataFrame, DataFrame]:
-    """R1 on a customer list: (train, test), disjoint and complete."""
-    return (split_side(customers, "train", train_percent, salt),
-            split_side(customers, "test", train_percent, salt))
-
-
 def order_key(key: str = S.CUSTOMER):
     """A 60-bit md5 value of the key: a stable pseudo-random order."""
     return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("long")
 
 
-def global_rank(df: DataFrame, key: str = S.CUSTOMER, partitions: int | None = None) -> DataFrame:
-    """1-based rank (``_rank``) of every row in (md5 order, key) order."""
-    return _rank_and_total(df, key, partitions)[0]
-
-
-def _rank_and_total(df: DataFrame, key: str, partitions: int | None):
-    """Ranks without a single-partition window over the rows: range-partition,
-    number rows inside each partition, then add the row counts of all earlier
-    partitions (a table of one row per partition, which is what is broadcast).
-    Also returns the total row count as a scalar-subquery column."""
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.withColumn("_k", order_key(key))
-               .repartitionByRange(n_parts, "_k", key)
-               .sortWithinPartitions("_k", key)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mono", F.monotonically_increasing_id()))
-    # monotonically_increasing_id = (partition index << 33) + position in partition
-    ordered = ordered.withColumn("_local", F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33) + 1)
-    # Both the counts and the rows below must see the same range partitioning:
-    # materialize once (reliable checkpoint) rather than sample the bounds twice.
-    ordered = materialize(ordered)
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ordered.join(F.broadcast(offsets.select("_pid", "_offset")), "_pid")
-    total = counts.agg(F.sum("_n").alias("n")).scalar()
-    return ranked.withColumn("_rank", F.col("_offset") + F.col("_local")).drop(
-        "_k", "_pid", "_mono", "_local", "_offset"), total
-
-
 def split_parts(df: DataFrame, n_parts: int = 3, exact: bool = True, key: str = S.CUSTOMER) -> DataFrame:
     """R2: add ``part`` in 1..n_parts, disjoint and complete.
 
     ``exact=True`` reproduces the source's sizes (``n // k`` of what is left for
-    each part but the last, which takes the rest) in a stable order;
-    ``exact=False`` is one md5 bucket per key (near-equal, no ranking pass).
+    each part but the last, which takes the rest) in md5 order, ties by key. The last
+    (md5, key) of each part is found first, from the key column alone; then ``part`` is a
+    comparison with these few values: no ranks, no join, nothing written. ``df`` is read
+    a few times, so pass a stored table. Rows that repeat a key stay in one part.
+    ``exact=False`` is one md5 bucket per key (near-equal, no extra pass).
     """
     if not exact:
         return df.withColumn("part", (hash_bucket(F.col(key), n_parts) + 1).cast("int"))
-    ranked, total = _rank_and_total(df, key, None)
-    # Upper rank bound of part i: bound_i = bound_{i-1} + (n - bound_{i-1}) // (k - i + 1).
-    bounds = []
-    prev = F.lit(0).cast("long")
-    for i in range(1, n_parts):
-        prev = prev + F.floor((total - prev) / F.lit(n_parts - i + 1)).cast("long")
-        bounds.append(prev)
+    keys = df.select(order_key(key).alias("_k"), F.col(key).alias("_key"))
+    cells = _histogram(keys, 0, ORDER_BITS)
+    total, bound, ends = sum(n for _, n in cells), 0, []
+    for left in range(n_parts, 1, -1):
+        bound += (total - bound) // left
+        ends.append(_nth(keys, cells, bound) if bound else None)
     part = F.lit(n_parts)
+    here = F.struct(order_key(key).alias("_k"), F.col(key).alias("_key"))
+    key_type = df.schema[key].dataType
     for i in range(n_parts - 1, 0, -1):
-        part = F.when(F.col("_rank") <= bounds[i - 1], F.lit(i)).otherwise(part)
-    return ranked.withColumn("part", part.cast("int")).drop("_rank")
+        if ends[i - 1] is not None:
+            k, last = ends[i - 1]
+            end = F.struct(F.lit(k).cast("long").alias("_k"), F.lit(last).cast(key_type).alias("_key"))
+            part = F.when(here <= end, F.lit(i)).otherwise(part)
+    return df.withColumn("part", part.cast("int"))
+
+
+ORDER_BITS = 60          # of order_key
+CELL_BITS = 12           # cells of one histogram: 4096, which is what reaches the driver
+EXACT_ROWS = 100_000     # keys sorted by one task at most
+
+
+def _histogram(keys: DataFrame, low: int, bits: int) -> list[tuple[int, int]]:
+    """(first value, rows) of the non-empty cells of [low, low + 2^bits), in order."""
+    width = max(0, bits - CELL_BITS)
+    inside = keys if bits == ORDER_BITS else keys.where(F.col("_k").between(low, low + (1 << bits) - 1))
+    cells = inside.groupBy(F.shiftright("_k", width).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return sorted((r["c"] << width, r["n"]) for r in cells)
+
+
+def _nth(keys: DataFrame, cells: list[tuple[int, int]], n: int, bits: int = ORDER_BITS):
+    """The n-th smallest (md5 value, key), looking ever closer at the cell it falls into."""
+    width = max(0, bits - CELL_BITS)
+    for start, rows in cells:
+        if n <= rows:
+            break
+        n -= rows
+    cell = keys.where(F.col("_k").between(start, start + (1 << width) - 1))
+    if rows <= EXACT_ROWS or width == 0:
+        ordered = cell.orderBy("_k", "_key").limit(n)
+        return tuple(ordered.orderBy(F.col("_k").desc(), F.col("_key").desc()).first())
+    return _nth(keys, _histogram(keys, start, width), n, width)
 
 
 def rest_after(df: DataFrame, taken: DataFrame, key: str = S.CUSTOMER) -> DataFrame:

@@ -29,9 +29,9 @@ SUV_TYPES = ("MEDIUM", "STANDARD")
 BUSINESS_SEGMENTS = ("BUILDING", "MACHINERY")
 UNKNOWN_PRIORITY = "4-NOT SPECIFIED"
 SECOND_COUNTRY_REGION = 0
-SNAPSHOTS = (  # (snapshot timestamp, last acquisition date it holds)
-    (dt.datetime(2000, 1, 2, 3, 0, 0), dt.date(1999, 12, 31)),
-    (dt.datetime(1999, 12, 5, 3, 0, 0), dt.date(1999, 12, 3)),
+SNAPSHOTS = (  # (snapshot timestamp in the session's zone, last acquisition date it holds)
+    ("2000-01-02 03:00:00", dt.date(1999, 12, 31)),
+    ("1999-12-05 03:00:00", dt.date(1999, 12, 3)),
 )
 
 

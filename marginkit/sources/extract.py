@@ -46,10 +46,12 @@ def extract_snapshot(df: DataFrame, as_of: dt.date, spec: S.ExtractSpec) -> Data
     """The same extract over the snapshot taken on ``as_of``.
 
     The day test is written as a half-open timestamp range so it is pushed to the
-    scan (and prunes partitions when the history table is partitioned by day).
+    scan (and prunes partitions when the history table is partitioned by day). Both
+    bounds are dates cast to timestamps, that is midnight in the session's time zone,
+    as ``to_date`` would see it; the driver's own zone plays no part.
     """
-    start = dt.datetime.combine(as_of, dt.time())
-    day = (F.col(S.SNAPSHOT_TS) >= F.lit(start)) & (F.col(S.SNAPSHOT_TS) < F.lit(start + dt.timedelta(days=1)))
+    midnight = lambda day: F.lit(day).cast("timestamp")
+    day = (F.col(S.SNAPSHOT_TS) >= midnight(as_of)) & (F.col(S.SNAPSHOT_TS) < midnight(as_of + dt.timedelta(days=1)))
     if SNAPSHOT_DAY in df.columns:
         # Table written by write_history: prune partitions. The day column was
         # derived in the writer's time zone, so allow one day either side; the

@@ -7,6 +7,7 @@ driver. CSV is read back with an explicit schema so keys keep their type.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FORMATS = ("parquet", "orc", "csv")
@@ -46,7 +47,23 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_cohort_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Headered CSV with a declared schema: the key keeps its type, bad text
-    becomes NULL instead of failing a later join."""
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .csv(path))
+    """Headered CSV read as text and cast by column **name**: the order of columns in
+    the file does not matter, further columns are dropped, and a missing one is an error.
+    Text that does not fit its type becomes NULL; ``bad_cohort_rows`` counts those."""
+    text = _cohort_text(spark, path, schema)
+    return text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def bad_cohort_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """One row: rows of the file, rows without an id, and for each column the values that
+    do not fit its type (such a customer would vanish from an inner join unreported)."""
+    text = _cohort_text(spark, path, schema)
+    key = schema.fields[0].name
+    bad = [F.count_if(F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull()).alias(f"bad_{f.name}")
+           for f in schema.fields]
+    return text.agg(F.count(F.lit(1)).alias("n_rows"),
+                    F.count_if(F.col(f"`{key}`").try_cast(schema.fields[0].dataType).isNull()).alias("n_without_id"), *bad)
+
+
+def _cohort_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.option("header", True).csv(path).select(*[F.col(f"`{f.name}`") for f in schema.fields])
