@@ -45,9 +45,9 @@ def test_trimmed_key_matches(make_rows):
 
 def test_year_bad_values(make_rows):
     rows = [purchase(1, "2019-01-01", vin=v, model_year=y) for v, y in
-            [("a", "2019.0"), ("b", "abc"), ("c", " 2019 ")]]
+            [("a", "2019.0"), ("b", "abc"), ("c", " 2019 "), ("d", "+2019"), ("e", "99999999999"), ("f", "20.1.9"), ("g", "")]]
     got = {r.vin: r.vehicle_model_year for r in clean_ownership(make_rows(rows)).collect()}
-    assert got == {"a": None, "b": None, "c": 2019}
+    assert got == {"a": 2019, "b": None, "c": 2019, "d": 2019, "e": None, "f": None, "g": None}
 
 
 def _profile(make_rows, rows, lifestage=True):

@@ -57,15 +57,55 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_extract_pushes_filters_and_prunes_columns(spark):
+def test_extract_pushes_filters_and_prunes_columns(spark, live):
+    import tempfile
     from marginkit.sources.extract import extract_ownership
-    from marginkit.sources.tables import read_table
-    orders = read_table(spark, f"{SF}/orders.parquet")
-    df = orders.where(F.col("o_orderdate") >= F.lit(dt.datetime(1999, 1, 1))).select("o_orderkey")
-    plan = _plan(df)
-    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
-    assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan
-    assert extract_ownership  # the extract is a pure filter + select over the same scan
+    path = tempfile.mkdtemp(prefix="marginkit-live-") + "/live"
+    live.write.parquet(path)
+    flow = S.US_FLOW
+    shown = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = _plan(extract_ownership(spark.read.parquet(path), flow.training_extract()).select(S.VIN, S.MARGIN))
+    spark.conf.set("spark.sql.maxMetadataStringLength", shown)
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    for part in ("IsNotNull(consumer_id)", "EqualTo(country_code", "EqualTo(vehicle_make", "GreaterThanOrEqual(acquisition_date", "LessThanOrEqual(acquisition_date"):
+        assert part in pushed, pushed
+    read = plan.split("ReadSchema: struct<")[1]
+    assert "platform" not in read and "lifestage_value" not in read and "vehicle_age" not in read
+
+
+def test_sorted_output_is_in_order(spark, live):
+    from marginkit.plans import sorted_output
+    rows = [r[0] for r in sorted_output(plans.training_table(live).repartition(9), S.CUSTOMER).select(S.CUSTOMER).collect()]
+    assert rows == sorted(rows) and len(rows) > 1
+
+
+def test_only_customers_who_bought_again_are_grouped(live, hist):
+    """A semi join with the raw outcome rows sits below the per-customer aggregate, with no
+    aggregate on either side of it, and nothing of customer grain is checkpointed."""
+    for df in (plans.scoring_features(live, hist), plans.baseline_match(live, hist)):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        semi = [i for i, line in enumerate(lines) if "Join LeftSemi" in line]
+        assert semi, "\n".join(lines)
+        above = [line for line in lines[:semi[0]] if "Aggregate [consumer_id" in line]
+        assert above, "\n".join(lines)
+
+
+def test_row_level_history_writes_only_hot_keys(spark, live):
+    """row_number_desc and purchase_gaps leave nothing in the checkpoint folder that grows
+    with the rows: only the medians and the (here empty) hot-day keys."""
+    import os
+    from marginkit.operators import history as H
+    from marginkit.session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).replace("file:", "")
+    rows = plans.side_rows(live, S.US_FLOW, "train")
+
+    def size():
+        return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(root) for f in fs if f.startswith("part-")}
+    before = size()
+    for op in (H.rank_newest, H.purchase_gaps):
+        op(rows).count()
+    assert sum(v for k, v in size().items() if k not in before) < 20_000
 
 
 def test_flows_plan_no_cross_or_nested_loop_join(live, hist):

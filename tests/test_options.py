@@ -75,13 +75,30 @@ def test_value_counts_and_summary(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, "b", None)], "consumer_id long, band string, x double")
     vc = {(r.column, r.value): r["count"] for r in value_counts(df, ["band"]).collect()}
     assert vc == {("band", "a"): 2, ("band", "b"): 1}
-    st = {r.statistic: r.value for r in summary_stats(df, ["x"]).collect()}
-    assert st["count"] == 2 and st["mean"] == 2.0 and st["min"] == 1.0 and st["max"] == 3.0 and st["p50"] == 1.0
+    st = {(r.column, r.statistic): r.value for r in summary_stats(df, ["x", "band"]).collect()}
+    assert [st["x", k] for k in ("count", "mean", "min", "max", "p50")] == ["2", "2.000000", "1.000000", "3.000000", "1.000000"]
+    assert [st["band", k] for k in ("count", "mean", "min", "max", "p50")] == ["3", None, "a", "b", None]
 
 
-def test_training_job_writes_tables(spark, live):
+def _median_fits(monkeypatch):
+    """Count the median aggregates that are built."""
+    from marginkit.operators import impute
+    fits = []
+    real = impute.group_median
+
+    def counted(*args, **kwargs):
+        fits.append(1)
+        return real(*args, **kwargs)
+    for module in (impute, plans.flows):
+        monkeypatch.setattr(module, "group_median", counted)
+    return fits
+
+
+def test_training_job_writes_tables_and_fits_medians_once(spark, live, monkeypatch):
+    fits = _median_fits(monkeypatch)
     out = tempfile.mkdtemp(prefix="marginkit-job-")
     written = run_training(spark, live, S.US_FLOW, out)
+    assert len(fits) == 1
     n = spark.read.parquet(written["training_table"]).count()
     assert n == plans.training_table(live).count() and n > 0
     csv = spark.read.option("header", True).csv(written["training_table"] + "_csv")
@@ -89,18 +106,96 @@ def test_training_job_writes_tables(spark, live):
     assert os.path.isdir(written["quality_profile"])
 
 
-def test_scoring_and_compare_jobs(spark, live):
-    from marginkit.jobs import run_compare, run_scoring
+@pytest.fixture(scope="module")
+def jobs_run(spark, live):
+    """fit, scoring and score on the small tables."""
+    from marginkit.jobs import run_fit, run_score, run_scoring
     hist = adapter.ownership_history(spark, SF)
     out = tempfile.mkdtemp(prefix="marginkit-job-")
-    written = run_scoring(spark, live, hist, S.US_FLOW, out)
+    written = run_fit(spark, live, S.US_FLOW, out)
+    written.update(run_scoring(spark, live, hist, S.US_FLOW, out))
+    written.update(run_score(spark, written["margin_model"], written["scoring_features"], out))
+    return hist, written
+
+
+def test_scoring_and_compare_jobs(spark, live, jobs_run):
+    from marginkit.jobs import run_compare
+    hist, written = jobs_run
     n = spark.read.parquet(written["scoring_features"]).count()
     parts = spark.read.option("header", True).csv(written["scoring_parts"])
     assert parts.count() == n and sorted(r.part for r in parts.select("part").distinct().collect()) == [1, 2, 3]
-    cmp = run_compare(spark, live, hist, written["scoring_features"] + "_csv", S.US_FLOW, out)
+    cmp = run_compare(spark, live, hist, written["scoring_features"] + "_csv", S.US_FLOW, tempfile.mkdtemp())
     rows = {r.model: r for r in spark.read.parquet(cmp["smape"]).collect()}
     want = {r.model: r for r in plans.smape_compare(live, hist, S.US_FLOW).collect()}
-    assert rows.keys() == want.keys() == {"new_model", "current_model"}
+    assert rows.keys() == want.keys() == {"mean_margin_proxy", "current_model"}
     for m in rows:
         assert rows[m].customers == want[m].customers
         assert abs(rows[m].smape - want[m].smape) < 1e-6
+
+
+def test_fitted_model_is_finite_unbiased_and_better_than_the_mean(spark, jobs_run):
+    from marginkit.operators.score import load_model, score_margin
+    _, written = jobs_run
+    train = spark.read.parquet(written["training_table"])
+    scored = score_margin(load_model(written["margin_model"]), train).join(train.select("consumer_id", "Latest_CM"), "consumer_id").toPandas()
+    assert len(scored) == train.count() and scored.predicted_margin.notna().all()
+    residual = scored.predicted_margin - scored.Latest_CM
+    assert abs(residual.mean()) < 0.01 * scored.Latest_CM.mean()
+    assert (residual ** 2).mean() < ((scored.Latest_CM - scored.Latest_CM.mean()) ** 2).mean()
+
+
+def test_compare_scores_the_model_and_counts_a_repeated_cohort_row_twice(spark, live, jobs_run):
+    from marginkit.jobs import run_compare
+    hist, written = jobs_run
+    cohort = spark.read.option("header", True).csv(written["scoring_features"] + "_csv")
+    path = tempfile.mkdtemp() + "/cohort"
+    cohort.unionByName(cohort.limit(1)).select(*reversed(cohort.columns)).write.option("header", True).csv(path)
+    cmp = run_compare(spark, live, hist, path, S.US_FLOW, tempfile.mkdtemp(), predictions=written["predictions"])
+    rows = {r.model: r for r in spark.read.parquet(cmp["smape"]).collect()}
+    assert rows.keys() == {"new_model", "current_model"}
+    n = spark.read.parquet(cmp["baseline_cohort"]).count()
+    assert {r.customers for r in rows.values()} == {n} == {cohort.count() + 1}
+    bad = spark.read.parquet(cmp["cohort_bad_rows"]).first()
+    assert bad.n_rows == n and bad.n_without_id == 0
+
+
+def test_cohort_csv_is_read_by_name_and_bad_values_are_counted(spark):
+    from pyspark.sql import types as T
+    from marginkit.sources import bad_cohort_rows, read_cohort_csv
+    path = tempfile.mkdtemp() + "/c"
+    os.mkdir(path)
+    with open(path + "/a.csv", "w") as f:
+        f.write("x,consumer_id,more\n1.5,7,z\n,8,z\nbad,nine,z\n")
+    schema = T.DataType.fromDDL("consumer_id BIGINT, x DOUBLE")
+    assert sorted(map(tuple, read_cohort_csv(spark, path, schema).collect()), key=str) == [(7, 1.5), (8, None), (None, None)]
+    r = bad_cohort_rows(spark, path, schema).first()
+    assert (r.n_rows, r.n_without_id, r.bad_consumer_id, r.bad_x) == (3, 1, 1, 1)
+
+
+def test_zero_is_tested_on_the_stored_margin(spark, make_rows):
+    rows = [purchase(i, "2019-01-01", vin=f"v{i}") for i in range(3)]
+    margins = F.when(F.col("vin") == "v0", 100.0).when(F.col("vin") == "v1", 0.004).otherwise(0.0)
+    ex = make_rows(rows).withColumn(S.MARGIN, margins)
+    got = {r.vin: float(r.contribution_margin) for r in impute_zero_margin(ex).collect()}
+    assert got == {"v0": 100.0, "v1": 0.0, "v2": 0.0}  # v2 takes the lower median of 0.00 and 100.00
+
+
+def test_missing_age_is_not_a_new_vehicle(spark):
+    from marginkit.operators.score import _prepare
+    df = spark.createDataFrame([(1, "One", "x", "Zero", 5.0, None), (2, "One", "x", "Zero", None, 0.0)],
+                               "consumer_id long, Freq_purchase string, AVERAGE_TIME_TO_PURCHASE string, lease_purchase_flag string, "
+                               "avg_imputed_contribution_margin double, avg_vehicle_age double")
+    got = [(r.avg_vehicle_age__d, r.avg_vehicle_age__missing) for r in _prepare(df).orderBy("consumer_id").collect()]
+    assert got == [(0.0, 1.0), (0.0, 0.0)]
+
+
+def test_parts_by_refined_histogram_equal_ranks(spark, monkeypatch):
+    from marginkit.operators import split
+    df = spark.range(1000).withColumnRenamed("id", "consumer_id")
+    want = sorted((r._k, r.consumer_id) for r in df.select("consumer_id", split.order_key().alias("_k")).collect())
+    for exact in (100_000, 1):
+        monkeypatch.setattr(split, "EXACT_ROWS", exact)
+        monkeypatch.setattr(split, "CELL_BITS", 12 if exact > 1 else 3)
+        got = {r.consumer_id: r.part for r in split.split_parts(df.repartition(5), 3).collect()}
+        assert [got[c] for _, c in want] == [1] * 333 + [2] * 333 + [3] * 334
+    assert split.split_parts(df.limit(0), 3).count() == 0 and {r.part for r in split.split_parts(df.limit(1), 3).collect()} == {3}
