@@ -2,7 +2,8 @@
 
 Layout: ``sources`` (scans, sinks, extracts, test-table adapter), ``functions``
 (column expressions), ``operators`` (DataFrame -> DataFrame steps), ``plans``
-(composite flows), ``streaming`` (none needed), ``catalog`` (registered queries).
+(composite flows), ``catalog`` (registered queries), ``llm`` (training-data operators,
+optional: nothing else here imports it).
 """
 
 from . import schema  # noqa: F401

@@ -1,7 +1,7 @@
 """DataFrame -> DataFrame operators, grouped by the steps of the source notebooks."""
 
 from .baseline import (  # noqa: F401
-    baseline_imputed, baseline_margin, cohort_match, match_back, recent_mean, unmatched_margin_audit,
+    baseline_imputed, baseline_margin, cohort_match, match_back, recent_mean,
 )
 from .clean import (  # noqa: F401
     clean_ownership, nonzero_records, null_rows, retail_only, time_cut, zero_records, zero_rows,

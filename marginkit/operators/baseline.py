@@ -86,7 +86,3 @@ def cohort_match(matched: DataFrame, cohort: DataFrame) -> DataFrame:
     c = cohort.select(F.col(S.CUSTOMER).cast("long").alias(S.CUSTOMER))
     return matched.join(c, S.CUSTOMER, "inner").select(*matched.columns)
 
-
-def unmatched_margin_audit(cohort_rows: DataFrame, base: DataFrame) -> DataFrame:
-    """Cohort customers with their raw baseline mean; NULL = no known margin."""
-    return cohort_rows.select(S.CUSTOMER).join(base.select(S.CUSTOMER, "avg_cm"), S.CUSTOMER, "inner")
