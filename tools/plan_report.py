@@ -60,7 +60,7 @@ def main(argv: list[str]) -> None:
     print(f"# Physical plans ({os.path.basename(sf_dir)}, final AQE plans, Spark {spark.version})\n")
     print("Operator counts of each flow's executed plan after it ran, split into the flow itself and the")
     print("adapter that builds the purchase table from the driver's tables (nodes reading TPC-H keys).")
-    print("Small lookups that a flow materializes before the main job (medians, range ranks) are separate")
+    print("Small lookups that a flow materializes before the main job (medians, hot customer-days, cut values) are separate")
     print("jobs and are not counted here.\n")
     cols = list(OPS)
     print("| key | " + " | ".join(cols) + " |")
