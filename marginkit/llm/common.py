@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast object, shipped like the functions that use it: its class travels by
+    value, so workers need no copy of this package. Unpickled once per task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.loaded = None
+
+    @property
+    def value(self):
+        if self.loaded is None:
+            self.loaded = cloudpickle.loads(self.data.value)
+        return self.loaded
+
+
 def fold(column) -> F.Column:
     """Lower-case A-Z only."""
     return F.translate(column, UPPER, LOWER)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytescan import ALNUM_WORDS, split_words, text_chunks
-from .common import fold
+from .common import Shared, fold
 
 WINDOW = 13
 MAX_ITEM_WORDS = 1_000_000
@@ -232,7 +232,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
     out = packed.withColumns({"_n_words": F.lit(0).cast("long"), "_items": F.array().cast("array<string>"),
                               "_spans": F.array().cast(_SPANS)})
     for group in item_groups(benchmark, window, max_words=max_words):
-        shared = spark.sparkContext.broadcast(Matcher(group, window))
+        shared = Shared(spark, Matcher(group, window))
         out = out.mapInArrow(_scanner(shared), out.schema)
     return out.drop("_text")
 

@@ -29,11 +29,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import text_chunks
-from .common import fold, materialise
+from .common import Shared, fold, materialise
 from .html_text import render
 
 BUCKETS = 1 << 15
@@ -132,7 +132,7 @@ def evidence(pages: DataFrame, model: TextModel, key: str = "page_id", url: str
     host = F.regexp_replace(fold(F.regexp_extract(address, r"://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^\.+|\.+$", "")
     named = pages.select(F.col(f"`{key}`").alias("page_id"), host.alias("host"),
                          fold(F.when(lang != "", lang).otherwise(meta)).alias("declared"), markup.alias("_html"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(pages.sparkSession, model)
 
     def score(batches):
         m = shared.value
@@ -177,7 +177,7 @@ def host_priors(soft: DataFrame, strength: float = HOST_STRENGTH) -> DataFrame:
     cells = materialise(soft.select("host", F.posexplode("p").alias("k", "p")).groupBy("host", "k")
                         .agg(F.sum("p").alias("n"), F.count(F.lit(1)).alias("pages")), "host-counts")
     root = cells.groupBy("k").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
-    languages = F.lit(1.0) / F.count(F.lit(1)).over(_window())
+    languages = F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy())
     root = root.withColumn("prior", (F.col("n") + strength * languages) / (F.col("pages") + strength))
     level = materialise(root.select(F.lit("").alias("node"), "k", "prior"), "host-level")
     labels = F.split("host", "[.]")
@@ -200,11 +200,6 @@ def host_priors(soft: DataFrame, strength: float = HOST_STRENGTH) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("k", "n", "_prior"))).alias("_prior"), F.max("pages").alias("_pages")), "host-priors")
 
 
-def _window():
-    from pyspark.sql import Window
-    return Window.partitionBy()
-
-
 def identify(pages: DataFrame, model: TextModel, key: str = "page_id", url: str = "url", html: str = "html",
              strength: float = HOST_STRENGTH) -> DataFrame:
     """One row per page: page_id, host, suffix, declared, text_lang, lang, confidence."""

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialise
+from .common import Shared, fold, materialise
 
 MAX_BROADCAST_RULES = 200_000
 
@@ -91,7 +91,7 @@ def judge_urls(pages: DataFrame, rules, key: str = "page_id", url: str = "url",
     elif len(rules) > MAX_BROADCAST_RULES:
         spark = pages.sparkSession
         return _judge_by_join(pages, spark.createDataFrame(rules, "verdict string, host string, path string"), key, url, default)
-    trie = pages.sparkSession.sparkContext.broadcast(RuleTrie(rules))
+    trie = Shared(pages.sparkSession, RuleTrie(rules))
 
     @F.pandas_udf("rule string, verdict string")
     def match(host: pd.Series, path: pd.Series) -> pd.DataFrame:
