@@ -16,7 +16,8 @@ Tables, all in the shared checkpoint folder, no vocabulary or pair table on the
 
 1. Batches: about ``BATCH_TOKENS`` tokens of whole texts a row, as a local vocabulary and a
    compressed stream of local numbers. Everything later is pre-aggregated per batch.
-2. Words: hash, training count, number. Numbers go by falling count, so the count of any
+2. Words, partitioned by ranges of the hash (one row each): training counts, and which
+   batches hold the word. Words are numbered by falling count, so the count of any
    number follows from one step per distinct count, at most sqrt(2 N) steps, and that
    staircase is what tasks get instead of the vocabulary.
 3. Pairs, partitioned in buckets (one row each): training counts, and which texts hold
@@ -41,14 +42,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import SPACE_WORDS, mix, split_words, text_chunks
-from .common import materialise, numbered
+from .common import Shared, materialise
 
-BATCH_TOKENS = 2_500_000
-BUCKET_TOKENS = 4_000_000
+BATCH_TOKENS = 1_500_000
+BUCKET_TOKENS = 3_000_000
 HOT = 1024
 GT_MAX = 5
 END = np.uint64(0xE7D0F7E87A11CE55)
@@ -71,7 +72,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 # --- batches -------------------------------------------------------------------------
 
-BATCH = "batch long, ids array<bigint>, held array<boolean>, n array<int>, words binary, train binary, stream binary"
+BATCH = "batch long, ids array<bigint>, held array<boolean>, n array<int>, words binary, train binary, places binary, stream binary"
 
 
 def batches(docs: DataFrame) -> DataFrame:
@@ -103,32 +104,92 @@ def batches(docs: DataFrame) -> DataFrame:
 def _batch(number, ids, held, sizes, tokens):
     words, local = np.unique(tokens, return_inverse=True)
     by_count = np.argsort(-np.bincount(local), kind="stable")
-    rank = np.empty_like(by_count)
+    rank = np.empty_like(by_count)                        # local numbers by falling count pack best
     rank[by_count] = np.arange(len(by_count))
-    local, words = rank[local], words[by_count]
     training = np.repeat(~np.array(held, dtype=bool), sizes)
     train = np.bincount(local[training], minlength=len(words))
     return pa.RecordBatch.from_arrays(
         [pa.array([number], type=pa.int64()), pa.array([ids], type=pa.list_(pa.int64())), pa.array([held], type=pa.list_(pa.bool_())),
-         pa.array([sizes], type=pa.list_(pa.int32())), pa.array([words.tobytes()]), pa.array([pack(train)]), pa.array([pack(local)])],
-        names=["batch", "ids", "held", "n", "words", "train", "stream"])
+         pa.array([sizes], type=pa.list_(pa.int32())), pa.array([pack(np.diff(words, prepend=np.uint64(0)))]), pa.array([pack(train)]),
+         pa.array([pack(rank)]), pa.array([pack(rank[local])])],
+        names=["batch", "ids", "held", "n", "words", "train", "places", "stream"])
 
 
 # --- words ---------------------------------------------------------------------------
 
-def _word_rows(table: DataFrame) -> DataFrame:
-    """(batch, slot, word, n) of every batch's vocabulary."""
+def _word_parts(table: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, batch, words, train): the vocabulary of each batch, in order of hash, cut
+    into ``buckets`` equal ranges of the hash."""
     def run(parts):
         for part in parts:
-            for number, words, train in zip(*(part.column(c).to_pylist() for c in ("batch", "words", "train"))):
-                words = np.frombuffer(words, dtype=np.int64)
-                n = unpack(train)
-                for a in range(0, len(words), 1 << 16):
-                    w = words[a:a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(w), number)), pa.array(np.arange(a, a + len(w), dtype=np.int32)), pa.array(w),
-                         pa.array(n[a:a + (1 << 16)])], names=["batch", "slot", "word", "n"])
-    return table.select("batch", "words", "train").mapInArrow(run, "batch long, slot int, word long, n long")
+            for row in _rows(part):
+                words = np.cumsum(unpack(row["words"])).view(np.uint64)
+                train = unpack(row["train"])
+                bucket = ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                cut = np.searchsorted(bucket, np.arange(buckets + 1))
+                have = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(have), pa.array([row["batch"]] * len(have), type=pa.int64()),
+                     pa.array([pack(np.diff(words[cut[b]:cut[b + 1]], prepend=np.uint64(0))) for b in have], type=pa.binary()),
+                     pa.array([pack(train[cut[b]:cut[b + 1]]) for b in have], type=pa.binary())], names=["bucket", "batch", "words", "train"])
+    return table.select("batch", "words", "train").mapInArrow(run, "bucket long, batch long, words binary, train binary")
+
+
+WORDS = "bucket long, c binary, batches array<bigint>, sizes array<int>, places binary"
+
+
+def _merge_words(group: pa.Table) -> pa.Table:
+    """One row for a bucket: training count of each distinct word, and for each batch the
+    places of its words among them."""
+    rows = group.sort_by("batch").to_pylist()
+    words = [np.cumsum(unpack(r["words"])).view(np.uint64) for r in rows]
+    distinct, places = np.unique(np.concatenate(words), return_inverse=True)
+    c = np.zeros(len(distinct), dtype=np.int64)
+    np.add.at(c, places, np.concatenate([unpack(r["train"]) for r in rows]))
+    return pa.table({"bucket": group.column("bucket").slice(0, 1), "c": pa.array([pack(c)]),
+                     "batches": pa.array([[r["batch"] for r in rows]], type=pa.list_(pa.int64())),
+                     "sizes": pa.array([[len(w) for w in words]], type=pa.list_(pa.int32())), "places": pa.array([pack(places)])})
+
+
+def _count_classes(words: DataFrame) -> DataFrame:
+    """(bucket, c, n): words of each training count above 0."""
+    def run(parts):
+        for part in parts:
+            for row in _rows(part):
+                c, n = np.unique(unpack(row["c"]), return_counts=True)
+                known = c > 0
+                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * int(known.sum()), type=pa.int64()), pa.array(c[known]),
+                                                  pa.array(n[known].astype(np.int64))], names=["bucket", "c", "n"])
+    return words.select("bucket", "c").mapInArrow(run, "bucket long, c long, n long")
+
+
+def _numbers(words: DataFrame, classes: DataFrame, shared) -> DataFrame:
+    """(batch, slots): the numbers of each batch's words, as blobs by bucket. A word's number
+    is the start of its count's step, plus the words of that count in buckets before, plus
+    its place among those of its own bucket."""
+    before = F.sum("n").over(Window.partitionBy("c").orderBy("bucket")) - F.col("n")
+    offsets = classes.withColumn("before", before).groupBy("bucket").agg(F.collect_list(F.struct("c", "before")).alias("offsets"))
+
+    def run(parts):
+        uni = shared.value
+        for part in parts:
+            for row in _rows(part):
+                c = unpack(row["c"])
+                number = np.full(len(c), uni.known, dtype=np.int64)
+                at = np.argsort(c, kind="stable")
+                at = at[c[at] > 0]
+                kinds, first, inverse = np.unique(c[at], return_index=True, return_inverse=True)
+                earlier = {o["c"]: o["before"] for o in row["offsets"] or ()}
+                base = uni.start[np.searchsorted(-uni.count[:-1], -kinds)] + np.array([earlier[k] for k in kinds.tolist()], dtype=np.int64)
+                number[at] = (base - first)[inverse] + np.arange(len(at))
+                found = number[unpack(row["places"])]
+                cut = np.concatenate([[0], np.cumsum(row["sizes"])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["batches"], type=pa.int64()), pa.array([row["bucket"]] * len(row["batches"]), type=pa.int64()),
+                     pa.array([pack(found[x:y]) for x, y in zip(cut, cut[1:])], type=pa.binary())], names=["batch", "bucket", "numbers"])
+
+    rows = words.join(offsets, "bucket", "left").mapInArrow(run, "batch long, bucket long, numbers binary")
+    return rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "numbers"))).alias("slots"))
 
 
 class Unigrams:
@@ -192,15 +253,21 @@ def _pair_rows(joined: DataFrame, shared, buckets: int) -> DataFrame:
     def run(parts):
         uni = shared.value
         for part in parts:
-            for row in part.to_pylist():
-                yield from _pairs_of(row, uni, buckets)
+            for row in _rows(part):
+                places = unpack(row["places"])
+                number = np.empty(len(places), dtype=np.int64)
+                number[places] = np.concatenate([unpack(s["numbers"]) for s in row["slots"]])
+                yield from _pairs_of(row, number, uni, buckets)
     return joined.mapInArrow(run, PAIRS)
 
 
-def _pairs_of(row, uni: Unigrams, buckets: int):
-    slots = row["slots"]
-    number = np.full(len(row["words"]) // 8, uni.known, dtype=np.int64)
-    number[np.array([s["slot"] for s in slots], dtype=np.int64)] = np.array([s["number"] for s in slots], dtype=np.int64)
+def _rows(part: pa.RecordBatch):
+    """The rows of a batch as dicts, one at a time (a row may be megabytes)."""
+    for i in range(part.num_rows):
+        yield part.slice(i, 1).to_pylist()[0]
+
+
+def _pairs_of(row, number: np.ndarray, uni: Unigrams, buckets: int):
     stream, sizes = unpack(row["stream"]), np.array(row["n"], dtype=np.int64)
     n_docs, n_words = len(sizes), len(number)
     doc = np.repeat(np.arange(n_docs), sizes)
@@ -218,10 +285,12 @@ def _pairs_of(row, uni: Unigrams, buckets: int):
     # distinct (pair, text) with its times, then distinct pairs
     pick = ~after_unknown
     key = (before[pick] * n_words + stream[pick]) * n_docs + doc[pick]
+    del before, pick, after_unknown
     key.sort()
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, dtype=np.int64)
     times = np.diff(np.append(new, len(key)))
     pair, text = np.divmod(key[new], n_docs)
+    del key
     start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, dtype=np.int64)
     holders = np.diff(np.append(start, len(pair)))
     lh, lw = np.divmod(pair[start], n_words)
@@ -359,26 +428,24 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     table = materialise(batches(docs), "katz-batches")
-    counted = _word_rows(table).groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
-    words = materialise(numbered(materialise(counted, "katz-words"), [F.col("c").desc(), F.col("word")], "number"), "katz-numbers")
-    steps = words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("c").desc()).collect()   # at most sqrt(2 N) rows
-    uni = Unigrams([(r["c"], r["n"]) for r in steps])
-    starts = table.select(F.sum(F.expr("size(filter(held, x -> not x))"))).first()[0] or 0
-    total = table.select(F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    starts, total = table.select(F.sum(F.expr("size(filter(held, x -> not x))")), F.sum(F.expr("aggregate(n, 0L, (a, x) -> a + x)"))).first()
+    starts, total = starts or 0, total or 0
     buckets = max(1, -(-total // BUCKET_TOKENS))
-
-    slots = (_word_rows(table).select("batch", "slot", "word").join(words.select("word", (F.col("number") - 1).alias("number")), "word")
-             .groupBy("batch").agg(F.collect_list(F.struct("slot", "number")).alias("slots")))
-    joined = table.drop("train").join(slots, "batch", "left").withColumn("slots", F.coalesce("slots", F.expr("array()").cast("array<struct<slot:int,number:bigint>>")))
-    rows = _pair_rows(joined, spark.sparkContext.broadcast(uni), buckets)
+    parts = _word_parts(table, max(1, -(-buckets // 2)))
+    words = materialise(parts.groupBy("bucket").applyInArrow(_merge_words, WORDS), "katz-words")
+    classes = materialise(_count_classes(words), "katz-counts")
+    steps = classes.groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.col("c").desc()).collect()   # at most sqrt(2 N) rows
+    uni = Unigrams([(r["c"], r["n"]) for r in steps])
+    joined = table.drop("words", "train").join(_numbers(words, classes, Shared(spark, uni)), "batch")
+    rows = _pair_rows(joined, Shared(spark, uni), buckets)
     pairs = materialise(rows.groupBy("bucket").applyInArrow(_merge, PAIRS), "katz-pairs")
 
-    model = spark.sparkContext.broadcast(_model(pairs, uni, starts))
+    model = Shared(spark, _model(pairs, uni, starts))
 
     def score(parts):
         m = model.value
         for part in parts:
-            for row in part.to_pylist():
+            for row in _rows(part):
                 own = row if row["bucket"] < 0 else {}
                 for batch, doc, sums in _scores(row, m):
                     yield pa.RecordBatch.from_arrays(
@@ -407,14 +474,14 @@ def score_corpus(docs: DataFrame) -> DataFrame:
 
 def _model(pairs: DataFrame, uni: Unigrams, starts: int) -> Model:
     """Sum the tallies of hot histories, and the counts of counts, over all buckets."""
-    shared = pairs.sparkSession.sparkContext.broadcast(uni)
+    shared = Shared(pairs.sparkSession, uni)
     hot = pairs.where("bucket < 0").select("h", "w", "count")
     cold = pairs.where("bucket >= 0").select("h", "w", "count")
 
     def hot_counts(parts):
         sums = np.zeros((HOT + 1, HOT), dtype=np.int64)
         for part in parts:
-            for row in part.to_pylist():
+            for row in _rows(part):
                 np.add.at(sums, (unpack(row["h"]), unpack(row["w"])), unpack(row["count"]))
         h, w = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int32)), pa.array(w.astype(np.int32)), pa.array(sums[h, w])], names=["h", "w", "n"])
@@ -423,7 +490,7 @@ def _model(pairs: DataFrame, uni: Unigrams, starts: int) -> Model:
         u = shared.value
         sums = np.zeros((HOT + 2, 2 * GT_MAX + 2), dtype=np.int64)     # the last row: all other histories
         for part in parts:
-            for row in part.to_pylist():
+            for row in _rows(part):
                 h, w, count = unpack(row["h"]), unpack(row["w"]), unpack(row["count"])
                 sums += _tally(np.minimum(h, HOT + 1), w, count, u, HOT + 2)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(HOT + 2, dtype=np.int32)), pa.array(list(sums), type=pa.list_(pa.int64()))], names=["h", "t"])
