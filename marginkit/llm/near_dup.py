@@ -8,13 +8,13 @@ sum of maxima) is at least 0.8, and classes are the connected components of the
 1. Texts equal up to the case of A-Z are one text (md5), so copies cost one signature.
 2. A BagMinHash signature of 80 slots is cut into 20 bands of 4. Two texts at 0.8 share a
    band with probability 1 - (1 - 0.8^4)^20 = 0.99997, at 0.9 with 1 - 6e-10.
-3. Texts that share a band fall into one bucket. In each round every bucket names a few
-   members as centres, which are compared with the bucket's members of other classes,
-   and verified links merge classes. The first round has one centre per bucket, the
-   smallest digest. In later rounds members outside the class of that first centre
-   take turns. A bucket is done when all of them have been centres, so no link within a
-   bucket is lost, and a bucket of mutual copies takes one round and one pair per member.
-   Pairs whose sizes alone rule out 0.8 are not compared.
+3. Texts that share a band fall into one bucket and are compared with one of them, its
+   centre. Links merge classes. Most buckets are done then: two members, or copies of one
+   text. In those that still hold several classes, all members are compared with the
+   ``HUBS`` best linked ones, which finds the texts the others were copied from. For what
+   remains, prefix filtering finds every pair of texts of different classes that can
+   reach 0.8, so no link within a bucket is lost, and the pairs do not grow with the square of a group
+   of copies. Pairs whose sizes alone rule out 0.8 are never compared.
 4. A pair is verified on both whole texts: overlap of the multisets, in numpy, for
    batches of pairs.
 
@@ -35,14 +35,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import band_keys, signatures
-from .bytescan import SPACE_WORDS, split_words, text_chunks, windows
+from .bytescan import SPACE_WORDS, mix, split_words, text_chunks, windows
 from .common import WORD, fold, materialise
 from .components import components
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 20, 4
-FIRST_CENTRES = 16
+HUBS = 16
+SKETCH = 1 << 20
 VERIFY_BYTES = 1 << 20
 
 
@@ -121,11 +122,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
     def check(batches):
         for batch in batches:
             ok = pa.array(_overlaps(batch.column("_a"), batch.column("_b")) >= similar - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column("la").filter(ok), batch.column("lb").filter(ok)], names=["la", "lb"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
     a = texts.select(F.col("digest").alias("a"), F.col("text").alias("_a"))
     b = texts.select(F.col("digest").alias("b"), F.col("text").alias("_b"))
-    return (pairs.join(a, "a").join(b, "b").select("la", "lb", "_a", "_b")
-            .mapInArrow(check, "la binary, lb binary"))
+    return (pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b")
+            .mapInArrow(check, "a binary, b binary"))
 
 
 def link_texts(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -140,38 +141,106 @@ def link_texts(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     used = members.select("digest").distinct()
     near = materialise(texts.join(used, "digest").groupBy("digest").agg(F.first("text").alias("text")), "near-texts")
     labels = materialise(used.withColumn("label", F.col("digest")), "labels")
-    state, centres = None, 1
-    while True:
-        live = members.join(labels, "digest")
-        if state is None:
-            first = live.where("digest = main").select("bucket", F.col("digest").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-            named = materialise(first, "centres")
-        else:
-            main = labels.select(F.col("digest").alias("main"), F.col("label").alias("_main"))
-            waiting = live.join(main, "main").where("label <> _main")
-            waiting = waiting.join(state, "bucket", "left").where("_upto is null or digest > _upto")
-            turn = F.row_number().over(Window.partitionBy("bucket").orderBy("digest"))
-            named = materialise(waiting.withColumn("_turn", turn).where(F.col("_turn") <= centres)
-                                .select("bucket", F.col("digest").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")), "centres")
-            if named.isEmpty():
-                return labels
-        live = materialise(live, "live")
-        fits = F.least("n", "cn") >= F.greatest("n", "cn") * F.lit(similar)
-        met = live.join(named, "bucket").where((F.col("label") != F.col("cl")) & fits)
-        pairs = met.select(F.least("digest", "c").alias("a"), F.greatest("digest", "c").alias("b"),
-                           F.least("label", "cl").alias("la"), F.greatest("label", "cl").alias("lb")).distinct()
-        links = materialise(verified(materialise(pairs, "pairs"), near, similar).distinct(), "links")
-        if not links.isEmpty():
-            roots = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-            moved = labels.join(roots, F.col("label") == F.col("node"), "left")
-            labels = materialise(moved.select("digest", F.coalesce("root", "label").alias("label")), "labels")
-        if state is not None:
-            upto = named.groupBy("bucket").agg(F.max("c").alias("_new"))
-            state = materialise(state.join(upto, "bucket", "full").select("bucket", F.coalesce("_new", "_upto").alias("_upto")), "turns")
-            centres *= 2
-        else:
-            state = materialise(named.select("bucket", F.col("c").alias("_upto")), "turns")
-            centres = FIRST_CENTRES
+
+    # one centre per bucket
+    first = members.where("digest = main").select("bucket", F.col("digest").alias("c"), F.col("n").alias("cn"), F.col("main").alias("cl"))
+    pairs = _met(members.withColumn("label", F.col("digest")), materialise(first, "centres"), similar)
+    links = materialise(verified(pairs, near, similar), "links")
+    labels = _merged(labels, links)
+
+    # buckets whose members, the centre aside, are of several classes: their best linked members
+    open_buckets = _open(members, labels)
+    if open_buckets.isEmpty():
+        return labels
+    degree = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("degree"))
+    live = members.join(open_buckets, "bucket").join(labels, "digest")
+    turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("degree").desc_nulls_last(), "digest"))
+    hubs = live.where("digest <> main").join(degree, "digest", "left").withColumn("_turn", turn).where(F.col("_turn") <= HUBS)
+    hubs = materialise(hubs.select("bucket", F.col("digest").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")), "centres")
+    labels = _merged(labels, materialise(verified(_met(materialise(live, "live"), hubs, similar), near, similar), "links"))
+
+    # what is still open: every pair that could be similar, by prefix filtering
+    open_buckets = _open(members, labels)
+    if open_buckets.isEmpty():
+        return labels
+    rest = materialise(members.join(open_buckets, "bucket").select("digest", "n").distinct().join(labels, "digest"), "rest")
+    pairs = _prefix_pairs(near.join(rest.select("digest"), "digest"), rest, similar)
+    return _merged(labels, materialise(verified(pairs, near, similar), "links"))
+
+
+def _met(live: DataFrame, centres: DataFrame, similar: float) -> DataFrame:
+    """Members and centres of a bucket that are of different classes and of fitting size."""
+    fits = F.least("n", "cn") >= F.greatest("n", "cn") * F.lit(similar)
+    met = live.join(centres, "bucket").where((F.col("label") != F.col("cl")) & fits)
+    return materialise(met.select(F.least("digest", "c").alias("a"), F.greatest("digest", "c").alias("b")).distinct(), "pairs")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the links (a, b) of digests have joined their classes."""
+    if links.isEmpty():
+        return labels
+    la, lb = (labels.select(F.col("digest").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    roots = components(links.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    moved = labels.join(roots, F.col("label") == F.col("node"), "left")
+    return materialise(moved.select("digest", F.coalesce("root", "label").alias("label")), "labels")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buckets with two members of different classes that are not its centre; all pairs with
+    the centre have been compared."""
+    found = (members.where("digest <> main").join(labels, "digest").groupBy("bucket")
+             .agg(F.min("label").alias("_a"), F.max("label").alias("_z")).where("_a <> _z"))
+    return materialise(found.select("bucket"), "open-buckets")
+
+
+def _elements(data, offsets):
+    """(text, element) of each text's multiset made a set: the k-th copy of a run is one element."""
+    doc, run, count = runs(data, offsets)
+    copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(doc, count), mix(np.repeat(run, count) + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _prefix_pairs(texts: DataFrame, rest: DataFrame, similar: float) -> DataFrame:
+    """(a, b) of all texts of different classes that can reach the similarity. Exact: put the
+    elements of all texts in one order, rare ones first; two sets with Jaccard similarity t
+    share an element among the first n - ceil(t n) + 1 of each. The order comes from counts
+    in SKETCH cells (a bounded table); an element alone in its cell is in one text only."""
+    def count(batches):
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column("text")):
+                got = np.bincount((_elements(data, offsets)[1] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                at = np.flatnonzero(got)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(got[at].astype(np.int64))], names=["cell", "n"])
+
+    table = texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()   # SKETCH rows at most
+    sketch = np.zeros(SKETCH, dtype=np.int64)
+    sketch[table["cell"].to_numpy()] = table["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+
+    def prefixes(batches):
+        seen = shared.value
+        for batch in batches:
+            digest = batch.column("digest")
+            for a, b, data, offsets in text_chunks(batch.column("text")):
+                doc, element = _elements(data, offsets)
+                rarity = seen[(element % np.uint64(SKETCH)).astype(np.int64)]
+                order = np.lexsort((element, rarity, doc))
+                doc, element, rarity = doc[order], element[order], rarity[order]
+                n = np.bincount(doc, minlength=b - a)
+                place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                keep = (place <= (n - np.ceil(similar * n - 1e-9).astype(np.int64))[doc]) & (rarity > 1)
+                yield pa.RecordBatch.from_arrays([digest.take(pa.array(a + doc[keep])), pa.array(element[keep].view(np.int64))], names=["digest", "element"])
+
+    heads = materialise(texts.mapInArrow(prefixes, "digest binary, element long").join(rest, "digest"), "prefixes")
+    sizes = heads.groupBy("element", "label").agg(F.count(F.lit(1)).alias("_n"))
+    several = materialise(sizes.groupBy("element").agg(F.max(F.struct("_n", "label")).alias("_m"), F.count(F.lit(1)).alias("_k"))
+                          .where("_k > 1").select("element", F.col("_m.label").alias("_most")), "shared-elements")
+    right = materialise(heads.join(several, "element"), "prefixes")
+    # one side leaves out the element's largest class, so a class is never paired with itself
+    left = right.where("label <> _most").select("element", F.col("digest").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
+    fits = F.least("n", "cn") >= F.greatest("n", "cn") * F.lit(similar)
+    met = right.drop("_most").join(materialise(left, "prefixes"), "element").where((F.col("label") != F.col("cl")) & fits)
+    return materialise(met.select(F.least("digest", "c").alias("a"), F.greatest("digest", "c").alias("b")).distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
