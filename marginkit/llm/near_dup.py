@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .bagminhash import band_keys, signatures
 from .bytescan import SPACE_WORDS, mix, split_words, text_chunks, windows
-from .common import WORD, fold, materialise
+from .common import WORD, Shared, fold, materialise
 from .components import components
 
 SHINGLE = 5
@@ -203,8 +203,10 @@ def _elements(data, offsets):
 def _prefix_pairs(texts: DataFrame, rest: DataFrame, similar: float) -> DataFrame:
     """(a, b) of all texts of different classes that can reach the similarity. Exact: put the
     elements of all texts in one order, rare ones first; two sets with Jaccard similarity t
-    share an element among the first n - ceil(t n) + 1 of each. The order comes from counts
-    in SKETCH cells (a bounded table); an element alone in its cell is in one text only."""
+    share an element among the first n - ceil(t n) + 1 of each. A pair comes up at its first
+    shared element only (nothing earlier is shared), and only if what follows in both is
+    enough for the overlap it needs. The order comes from counts in SKETCH cells (a bounded
+    table); an element alone in its cell is in one text only."""
     def count(batches):
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column("text")):
@@ -215,7 +217,7 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, similar: float) -> DataFram
     table = texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()   # SKETCH rows at most
     sketch = np.zeros(SKETCH, dtype=np.int64)
     sketch[table["cell"].to_numpy()] = table["n"].to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    shared = Shared(texts.sparkSession, sketch)
 
     def prefixes(batches):
         seen = shared.value
@@ -229,17 +231,26 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, similar: float) -> DataFram
                 n = np.bincount(doc, minlength=b - a)
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
                 keep = (place <= (n - np.ceil(similar * n - 1e-9).astype(np.int64))[doc]) & (rarity > 1)
-                yield pa.RecordBatch.from_arrays([digest.take(pa.array(a + doc[keep])), pa.array(element[keep].view(np.int64))], names=["digest", "element"])
-
-    heads = materialise(texts.mapInArrow(prefixes, "digest binary, element long").join(rest, "digest"), "prefixes")
+                doc, place, value = doc[keep], place[keep], element[keep].view(np.int64)
+                own = np.arange(len(doc)) - np.searchsorted(doc, doc)          # earlier elements of the same text
+                at = np.repeat(np.arange(len(doc)) - own, own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                before = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32)), pa.array(value[at]))
+                yield pa.RecordBatch.from_arrays([digest.take(pa.array(a + doc)), pa.array(value), pa.array(place.astype(np.int32)), before],
+                                                 names=["digest", "element", "place", "before"])
+
+    heads = texts.mapInArrow(prefixes, "digest binary, element long, place int, before array<bigint>")
+    heads = materialise(heads.join(rest, "digest"), "prefixes")
     sizes = heads.groupBy("element", "label").agg(F.count(F.lit(1)).alias("_n"))
     several = materialise(sizes.groupBy("element").agg(F.max(F.struct("_n", "label")).alias("_m"), F.count(F.lit(1)).alias("_k"))
                           .where("_k > 1").select("element", F.col("_m.label").alias("_most")), "shared-elements")
     right = materialise(heads.join(several, "element"), "prefixes")
     # one side leaves out the element's largest class, so a class is never paired with itself
-    left = right.where("label <> _most").select("element", F.col("digest").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
+    left = right.where("label <> _most").select("element", F.col("digest").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"),
+                                                F.col("place").alias("cplace"), F.col("before").alias("cbefore"))
     fits = F.least("n", "cn") >= F.greatest("n", "cn") * F.lit(similar)
-    met = right.drop("_most").join(materialise(left, "prefixes"), "element").where((F.col("label") != F.col("cl")) & fits)
+    enough = F.least(F.col("n") - F.col("place"), F.col("cn") - F.col("cplace")) >= (F.col("n") + F.col("cn")) * F.lit(similar / (1 + similar)) - 1e-6
+    fresh = ~F.arrays_overlap("before", "cbefore")
+    met = right.drop("_most").join(materialise(left, "prefixes"), "element").where((F.col("label") != F.col("cl")) & fits & enough & fresh)
     return materialise(met.select(F.least("digest", "c").alias("a"), F.greatest("digest", "c").alias("b")).distinct(), "pairs")
 
 
