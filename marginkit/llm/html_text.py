@@ -37,6 +37,7 @@ MAX_SPAN = 1000
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^>"'])*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_LANGUAGE = re.compile(r"\s*([a-z]{2,3})\b", re.I | re.A)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style title textarea xmp iframe noembed noframes noscript".split()}
 _HEAD = frozenset("head base link meta title script style noscript template".split())
@@ -68,7 +69,8 @@ def _attributes(text: str) -> dict:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page. Text is a plain string among a node's kids."""
+    """The tree of a page. Text is a plain string among a node's kids. The root has the
+    attributes of all ``html`` tags, the first of a name counts."""
     root = Node("html")
     stack = [root]
     opened: dict[str, int] = {"html": 1}    # how often each tag is open, to skip searches
@@ -121,6 +123,7 @@ def parse(page: str) -> Node:
                 stack[-1].kids.append(Node("br"))
             continue
         if tag == "html":
+            root.attrs = _attributes(m[3]) | root.attrs
             continue
         if opened.get("head") and tag not in _HEAD:
             close({"head"}, ())
@@ -266,12 +269,35 @@ def _table(rows) -> list[str]:
     return out
 
 
+def declared_language(root: Node) -> str:
+    """The language a page declares for itself: ``lang`` (or ``xml:lang``) of ``html``, else its
+    first ``content-language`` meta; the primary subtag in lower case, or an empty string."""
+    for name in ("lang", "xml:lang"):
+        m = _LANGUAGE.match(root.attrs.get(name, ""))
+        if m:
+            return m[1].lower()
+    todo = list(reversed(root.kids))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            continue
+        if node.tag == "meta" and "content-language" in (node.attrs.get("http-equiv", "").strip().lower(), node.attrs.get("name", "").strip().lower()):
+            m = _LANGUAGE.match(node.attrs.get("content", ""))
+            if m:
+                return m[1].lower()
+        todo.extend(reversed(node.kids))
+    return ""
+
+
 def render(page: str | None) -> str | None:
-    if page is None:
-        return None
+    return None if page is None else lay_out(parse(page))
+
+
+def lay_out(root: Node) -> str:
+    """The text of a parsed page."""
     canvas, tables, lists = Canvas(), [], []
     outer: list[Canvas] = []
-    todo = [(parse(page), True, True)]           # (node, entering, visible)
+    todo = [(kid, True, True) for kid in reversed(root.kids)]    # (node, entering, visible)
     pre = 0
     while todo:
         node, entering, visible = todo.pop()

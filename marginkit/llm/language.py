@@ -6,7 +6,8 @@ posterior(L) ~ P(text | L)^t * P(declared | L) * P(suffix | L) * prior(L | host)
   come from all labelled documents. The log-likelihood is tempered: it counts as that of
   ``min(trigrams, TEXT_CAP) * TEMPER`` independent trigrams, as neighbours overlap.
 * Declared: the language of the page's own markup (``<html lang>`` or a
-  ``content-language`` meta). Address suffix: the last label of the host. Their tables
+  ``content-language`` meta, wherever in the page it stands; comments and scripts do not
+  count). Address suffix: the last label of the host. Their tables
   P(value | L) are counted over all pages, each page with the posterior of its text alone,
   and smoothed; a missing value is no evidence.
 * Host: expected pages per language are counted for every host, its parent domains and
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import text_chunks
 from .common import Shared, fold, materialise
-from .html_text import render
+from .html_text import declared_language, lay_out, parse
 
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 256
@@ -126,24 +127,25 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
 def evidence(pages: DataFrame, model: TextModel, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, host, suffix, declared, ll): tempered log-likelihoods in language order."""
     markup, address = F.coalesce(F.col(f"`{html}`"), F.lit("")), F.coalesce(F.col(f"`{url}`"), F.lit(""))
-    head = F.substring(markup, 1, 4096)
-    lang = F.regexp_extract(head, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
-    meta = F.regexp_extract(head, r"(?i)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]{2,3})\b", 1)
     host = F.regexp_replace(fold(F.regexp_extract(address, r"://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^\.+|\.+$", "")
-    named = pages.select(F.col(f"`{key}`").alias("page_id"), host.alias("host"),
-                         fold(F.when(lang != "", lang).otherwise(meta)).alias("declared"), markup.alias("_html"))
+    named = pages.select(F.col(f"`{key}`").alias("page_id"), host.alias("host"), markup.alias("_html"))
     shared = Shared(pages.sparkSession, model)
 
     def score(batches):
         m = shared.value
         for batch in batches:
-            text = pa.array([render(x.as_py()) for x in batch.column("_html")], type=pa.string())
+            texts, declared = [], []
+            for x in batch.column("_html"):
+                tree = parse(x.as_py())
+                texts.append(lay_out(tree))
+                declared.append(declared_language(tree))
+            text = pa.array(texts, type=pa.string())
             parts = [m.score(data, offsets) for _, _, data, offsets in text_chunks(text)]
             mean = np.concatenate([p[0] for p in parts]) if parts else np.empty((0, len(m.languages)))
             size = np.concatenate([p[1] for p in parts]) if parts else np.empty(0)
             ll = mean * (np.minimum(size, TEXT_CAP) * TEMPER)[:, None]
             at = pa.array(np.arange(len(ll) + 1) * len(m.languages), type=pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("declared"),
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(declared, type=pa.string()),
                                               pa.ListArray.from_arrays(at, pa.array(ll.ravel()))],
                                              names=["page_id", "host", "declared", "ll"])
 

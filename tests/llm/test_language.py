@@ -52,6 +52,17 @@ def test_evidence_is_fused(spark, documents, model):
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_declaration_anywhere_in_the_page(spark, model):
+    long = "<!-- licence " + "x " * 4000 + "-->"
+    pages = {1: (long + "<html lang='de-AT'><p>a", "de"),
+             2: ("<html><head><style>" + "p{} " * 3000 + "</style><meta http-equiv=Content-Language content=fr>", "fr"),
+             3: ("<html><head>" + "<link rel=x href=y>" * 500 + "<meta content='ES' http-equiv='content-language'><body>a", "es"),
+             4: ("<!-- <html lang=de> --><script>'<html lang=fr>'</script><html xml:lang=es>" + long, "es"),
+             5: (long + "<p lang=de>a", None), 6: (long + "<html lang=''><meta name=content-language content='en, de'>", "en")}
+    df = spark.createDataFrame([(k, "http://a.b/", v[0]) for k, v in pages.items()], "page_id long, url string, html string")
+    assert {r.page_id: r.declared for r in language.identify(df, model).collect()} == {k: v[1] for k, v in pages.items()}
+
+
 def test_host_priors_by_hand(spark):
     soft = spark.createDataFrame([("a.x", [1.0, 0.0]), ("a.x", [0.5, 0.5]), ("b.x", [0.0, 1.0]), ("", [1.0, 0.0])], "host string, p array<double>")
     got = {r._host: r for r in language.host_priors(soft, 2.0).collect()}
