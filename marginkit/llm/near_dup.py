@@ -45,6 +45,8 @@ BANDS, ROWS = 20, 4
 HUBS = 16
 SKETCH = 1 << 20
 VERIFY_BYTES = 1 << 20
+WINDOW = 32
+SLICE = 1 << 16
 
 
 def digested(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,8 +206,9 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, similar: float) -> DataFram
     """(a, b) of all texts of different classes that can reach the similarity. Exact: put the
     elements of all texts in one order, rare ones first; two sets with Jaccard similarity t
     share an element among the first n - ceil(t n) + 1 of each. A pair comes up at its first
-    shared element only (nothing earlier is shared), and only if what follows in both is
-    enough for the overlap it needs. The order comes from counts in SKETCH cells (a bounded
+    shared element if what follows in both is enough for the overlap it needs, and at a later
+    one only if the ``WINDOW`` elements before it in both have none in common, so what is
+    stored with an element does not grow with its text. The order comes from counts in SKETCH cells (a bounded
     table); an element alone in its cell is in one text only."""
     def count(batches):
         for batch in batches:
@@ -232,11 +235,14 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, similar: float) -> DataFram
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
                 keep = (place <= (n - np.ceil(similar * n - 1e-9).astype(np.int64))[doc]) & (rarity > 1)
                 doc, place, value = doc[keep], place[keep], element[keep].view(np.int64)
-                own = np.arange(len(doc)) - np.searchsorted(doc, doc)          # earlier elements of the same text
-                at = np.repeat(np.arange(len(doc)) - own, own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-                before = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32)), pa.array(value[at]))
-                yield pa.RecordBatch.from_arrays([digest.take(pa.array(a + doc)), pa.array(value), pa.array(place.astype(np.int32)), before],
-                                                 names=["digest", "element", "place", "before"])
+                own = np.minimum(np.arange(len(doc)) - np.searchsorted(doc, doc), WINDOW)   # nearest earlier elements of the same text
+                for x in range(0, len(doc), SLICE):
+                    part = slice(x, x + SLICE)
+                    n_own, end = own[part], np.cumsum(own[part])
+                    at = np.repeat(np.arange(x, x + len(end)) - end, n_own) + np.arange(end[-1])
+                    before = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]).astype(np.int32)), pa.array(value[at]))
+                    yield pa.RecordBatch.from_arrays([digest.take(pa.array(a + doc[part])), pa.array(value[part]), pa.array(place[part].astype(np.int32)), before],
+                                                     names=["digest", "element", "place", "before"])
 
     heads = texts.mapInArrow(prefixes, "digest binary, element long, place int, before array<bigint>")
     heads = materialise(heads.join(rest, "digest"), "prefixes")

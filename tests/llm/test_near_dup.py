@@ -62,6 +62,24 @@ def test_prefix_pairs_hold_all_similar_pairs(spark):
     assert want <= got and len(want) > 20
 
 
+@pytest.mark.parametrize("window,cut", [(32, 1 << 16), (1, 7)])
+def test_prefixes_of_long_texts_stay_linear(spark, monkeypatch, window, cut):
+    seen, write = [], near_dup.materialise
+    monkeypatch.setattr(near_dup, "materialise", lambda df, name: seen.append((name, write(df, name))) or seen[-1][1])
+    monkeypatch.setattr(near_dup, "WINDOW", window, raising=False)
+    monkeypatch.setattr(near_dup, "SLICE", cut, raising=False)
+    common = " ".join(f"c{i}" for i in range(2000))
+    long = [common + " " + " ".join(f"o{k}-{i}" for i in range(900)) for k in range(4)]
+    texts = long + [edited(edited(long[0], 1, 300), 2, 2500), " ".join(long[1].split(" ")[50:])] + [" ".join(long[2].split(" ")[k:k + 40]) for k in range(5)]
+    df = spark.createDataFrame([(bytes([i]), t, bytes([i]), sum(runs(t).values())) for i, t in enumerate(texts)], "digest binary, text string, label binary, n long")
+    got = {(r.a[0], r.b[0]) for r in near_dup._prefix_pairs(df.select("digest", "text"), df.select("digest", "n", "label"), 0.8).collect()}
+    bags = [runs(t) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())}
+    assert want <= got and {(0, 4), (1, 5)} <= want
+    heads = next(df for name, df in seen if name == "prefixes")
+    assert heads.count() > 500 and heads.agg(F.max(F.size("before"))).first()[0] == window
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(5)
     for low, high in ((1, 2), (1, 12), (50, 900)):
