@@ -97,6 +97,21 @@ def band_table(texts: DataFrame) -> DataFrame:
     return texts.select("digest", "text").mapInArrow(sign, "digest binary, n long, bands array<bigint>")
 
 
+def _once_per_task(texts: DataFrame) -> DataFrame:
+    """(digest, text), each digest once per task, so that copies meet in as many rows as there are tasks at most."""
+    def first(batches):
+        seen = set()
+        for batch in batches:
+            new = []
+            for i, x in enumerate(batch.column("digest").to_pylist()):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            if new:
+                yield batch.take(pa.array(new))
+    return texts.select("digest", "text").mapInArrow(first, "digest binary, text string")
+
+
 def _overlaps(a: "pa.Array", b: "pa.Array") -> np.ndarray:
     """Multiset Jaccard similarity of each pair of texts."""
     out = np.zeros(len(a))
@@ -141,7 +156,7 @@ def link_texts(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     buckets = materialise(crowded, "buckets")
     members = materialise(rows.join(buckets, "bucket").select("bucket", "main", "digest", "n").distinct(), "members")
     used = members.select("digest").distinct()
-    near = materialise(texts.join(used, "digest").groupBy("digest").agg(F.first("text").alias("text")), "near-texts")
+    near = materialise(_once_per_task(texts).join(used, "digest").groupBy("digest").agg(F.first("text").alias("text")), "near-texts")
     labels = materialise(used.withColumn("label", F.col("digest")), "labels")
 
     # one centre per bucket

@@ -80,6 +80,13 @@ def test_prefixes_of_long_texts_stay_linear(spark, monkeypatch, window, cut):
     assert heads.count() > 500 and heads.agg(F.max(F.size("before"))).first()[0] == window
 
 
+def test_copies_collapse_before_the_join(spark):
+    rows = [("a", "copy")] * 300 + [("b", "other"), ("c", "copy of b")]
+    df = spark.createDataFrame([(x.encode(), t) for x, t in rows], "digest binary, text string").repartition(3)
+    assert {(bytes(r.digest), r.text) for r in near_dup._once_per_task(df).collect()} == {(x.encode(), t) for x, t in rows}
+    assert near_dup._once_per_task(df).count() <= 9 and near_dup._once_per_task(df.limit(0)).count() == 0
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(5)
     for low, high in ((1, 2), (1, 12), (50, 900)):
