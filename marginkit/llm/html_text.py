@@ -16,8 +16,8 @@ other text is emitted:
   several lines. Columns are at most ``MAX_COLUMN`` wide; longer cells run over.
 
 Edge cases: null gives null, an empty page an empty text; a ``<`` that starts no tag is
-text; unclosed comments, tags and quotes run to the end of the page; end tags without
-start are dropped; nesting may be of any depth (no recursion); work and output grow in
+text; unclosed comments, tags and quoted values run to the end of the page, a stray quote
+in a tag is a plain character; end tags without start are dropped; nesting may be of any depth (no recursion); work and output grow in
 proportion to the page, except for column padding, which is bounded by ``MAX_COLUMN`` a
 cell. Repeated rows give repeated results, an empty table gives an empty one.
 """
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 MAX_COLUMN = 80
 MAX_SPAN = 1000
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^>"'])*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: an attribute; a quote opens a string only directly after the equals sign
+_PAIR = r"""[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)?)?"""
+_TOKEN = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|{_PAIR})*)(?:>|\Z)""", re.S)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*))?)?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _LANGUAGE = re.compile(r"\s*([a-z]{2,3})\b", re.I | re.A)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

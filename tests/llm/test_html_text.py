@@ -37,6 +37,17 @@ def test_edge_cases():
     assert render("<td>" * 100 + "x") is not None
 
 
+def test_stray_quotes_and_empty_comments():
+    assert render('<a href="x"">text</a> more <b>and</b> "on"') == 'text more and "on"'
+    assert render("<p title=John's>one <i>two</i><p>it's three") == "one two\n\nit's three"
+    assert render('<table><tr><td width=5">a<td title="b>c">d</table>e') == "a  d\n\ne"
+    assert render("a<!-->b<!--->c<!-- x > -->d<!---->e<!-- y --!>f") == "abcdef"
+    assert render("<a b='x>y' c = \"p>q\" d=e\"f =g\">t") == "t" and render('<a "b>c') == "c" and render("<a =\"x>t") == "t"
+    assert render("<br/><img alt='>'/>x<div/hidden>no</div>y<p hidden=\">z") == "xy"
+    assert render('<p style="display:none"">no</p>yes') == "yes"
+    assert render("<p " + "a=\"b\" c' " * 50_000 + ">x") == "x"
+
+
 def test_all_visible_words_of_the_pages_survive(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = {r.page_id: r.text for r in extract_text(pages).collect()}
