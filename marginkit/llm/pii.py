@@ -52,7 +52,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: a text without any of this holds no entity
-MAYBE = rf"[0-9@]|(?i:passw|pwd|secret|token|api[_-]?key)|(?:{_TITLE})\.?[ \t]"
+MAYBE = rf"[0-9@]|AKIA|ASIA|(?i:passw|pwd|secret|token|api[_-]?key)|(?:{_TITLE})\.?[ \t]"
 #: sixteen syllables for each script
 SYLLABLES = {
     "latin": "ba de ki lo mu na pe ri so tu va we ze fo ga li",

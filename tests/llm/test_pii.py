@@ -53,6 +53,12 @@ def test_coreference(out):
     assert out[9].text == ip and ip in out[7].text and ip in out[3].text
 
 
+def test_access_keys_without_digits(spark):
+    df = spark.createDataFrame([(k, f"see {k}BCDEFGHIJKLMNOPQ there", "en", "s", 1) for k in ("AKIA", "ASIA")], "doc_id string, text string, lang string, source string, n_chars long")
+    for r in pii.replace_pii(df).collect():
+        assert "BCDEFGHIJKLMNOPQ" not in r.text and re.fullmatch(rf"see {r.doc_id}[A-Z]{{16}} there", r.text)
+
+
 def test_collisions_are_drawn_anew(spark):
     rows = [("ssn", f"{i:04d}") for i in range(0, 9000)]
     got = pii.surrogates(spark.createDataFrame(rows[::3], "type string, entity string"), "k").collect()
