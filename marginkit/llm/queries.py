@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, katz, language, mixing, near_dup, pii, quality, url_rules, warc
-from .common import read
+from . import decontaminate, html_text, katz, language, mixing, near_dup, pii, prefix_trie, quality, url_rules, warc
+from .common import materialise, read
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
              ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -62,5 +62,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             "items_sha256", "contaminated")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    talk = materialise(prefix_trie.conversations(talk), "conversations")
+    nodes = prefix_trie.prefix_nodes(prefix_trie.with_common_head(talk, every=100, most=6))
+    return nodes.withColumnRenamed("ends", "ends_sha256").drop("turn")
+
+
+QUERIES = (op1_quality_rules, op2_language, op3_warc, op4_html_text, op5_near_dup, op6_katz, op7_url_rules, op8_mixing,
+           op9_pii, op10_decontaminate, op12_prefix_trie)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_language, op3_warc, op4_html_text, op5_near_dup, op6_katz, op7_url_rules, op8_mixing, op9_pii, op10_decontaminate)}
+    return {f.__name__: f for f in QUERIES}

@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from .decontaminate import WINDOW
+from .prefix_trie import TIE
 from .quality import BOILERPLATE, Rules
 from .queries import URL_RULES
 
@@ -94,5 +95,35 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
 
+#: crc32 of an ASCII text: ``tbl`` is the table of the 256 remainders
+_CRC_TABLE = """(SELECT list(list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tbl FROM range(256) AS t(i))"""
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) AS UBIGINT))),
+    lambda a, b: xor(tbl[CAST(xor(a, b) & 255 AS INTEGER) + 1], a >> 8)), 4294967295)"""
+
+OP12 = rf"""
+WITH t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, length(coalesce(text, '')) AS n,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), substr(coalesce(text, ''), 1, {TIE}),
+                                sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS b, CAST({_CRC.format("CAST(conv_id AS VARCHAR)")} % 6 AS BIGINT) AS h
+      FROM (SELECT DISTINCT conv_id FROM t), {_CRC_TABLE}),
+k AS (SELECT conv_id, count(*) AS k FROM t GROUP BY 1),
+r AS (SELECT c.conv_id, i AS d, g, n FROM c JOIN t ON t.conv_id = c.b AND i <= h
+      UNION ALL SELECT c.conv_id, i - h + least(h, coalesce(k, 0)) AS d, g, n FROM c JOIN t USING (conv_id) LEFT JOIN k ON k.conv_id = c.b WHERE i > h),
+p AS (SELECT conv_id, d, n, md5(string_agg(g, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS path FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT *, lag(path) OVER w AS up, lead(path) OVER w IS NULL AS last FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY d)),
+nodes AS (SELECT path, min(conv_id) AS conv_id, min(d) AS depth, count(*) AS n_convs, (count(*) - 1) * min(n) AS own, min(up) AS up, bool_and(last) AS leaf,
+            string_agg(CASE WHEN last THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM m GROUP BY path),
+s AS (SELECT a.path, sum(own) AS saved, count(*) FILTER (WHERE leaf) AS leaves, count(*) FILTER (WHERE a.path = x.up) AS children
+      FROM nodes x JOIN m a ON a.conv_id = x.conv_id AND a.d <= x.depth GROUP BY a.path)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, x.n_convs, children AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM nodes x JOIN s USING (path) LEFT JOIN nodes u ON u.path = x.up
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_warc": OP3, "op7_url_rules": OP7, "op8_mixing": OP8, "op10_decontaminate": OP10}
+    return {"op1_quality_rules": OP1, "op3_warc": OP3, "op7_url_rules": OP7, "op8_mixing": OP8, "op10_decontaminate": OP10,
+            "op12_prefix_trie": OP12}
