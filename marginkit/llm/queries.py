@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, katz, language, mixing, near_dup, pii, prefix_trie, quality, url_rules, warc
-from .common import materialise, read
+from . import decontaminate, html_text, katz, language, mixing, near_dup, pii, prefix_trie, quality, spelling, url_rules, warc
+from .common import fold, materialise, read
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
              ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -62,6 +62,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             "items_sha256", "contaminated")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(read(spark, sf_dir, "documents").select("doc_id", "text"), least=7)
+    run = fold("run")
+    h = F.crc32(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run), "UTF-8"))
+    at = (F.col("_h") % F.length("_run")).cast("int")
+    spoilt = F.concat(F.col("_run").substr(F.lit(1), at), F.col("_run").substr(at + 2, F.length("_run")))
+    words = runs.select(run.alias("_run"), h.alias("_h")).select(F.when(F.col("_h") % 31 == 0, spoilt).otherwise(F.col("_run")).alias("word"))
+    return spelling.variant_groups(materialise(spelling.vocabulary(words, least_length=7, least_count=2), "vocabulary"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     talk = materialise(prefix_trie.conversations(talk), "conversations")
@@ -70,7 +80,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (op1_quality_rules, op2_language, op3_warc, op4_html_text, op5_near_dup, op6_katz, op7_url_rules, op8_mixing,
-           op9_pii, op10_decontaminate, op12_prefix_trie)
+           op9_pii, op10_decontaminate, op11_spelling, op12_prefix_trie)
 
 
 def queries() -> dict:

@@ -101,6 +101,27 @@ _CRC_TABLE = """(SELECT list(list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0,
 _CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) AS UBIGINT))),
     lambda a, b: xor(tbl[CAST(xor(a, b) & 255 AS INTEGER) + 1], a >> 8)), 4294967295)"""
 
+_CRC_BYTES = """xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), flatten(list_transform(string_split({0}, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS UBIGINT)] ELSE [CAST(195 AS UBIGINT), CAST(unicode(c) - 64 AS UBIGINT)] END))),
+    lambda a, b: xor(tbl[CAST(xor(a, b) & 255 AS INTEGER) + 1], a >> 8)), 4294967295)"""
+
+OP11 = rf"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, {_FOLD.format("unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+'))")} AS r FROM documents),
+k AS (SELECT d, r, count(*) AS c FROM runs WHERE length(r) >= 7 GROUP BY d, r),
+h AS (SELECT r, c, CAST({_CRC_BYTES.format("d || ':' || r")} AS BIGINT) AS h FROM k, {_CRC_TABLE}),
+t AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM t WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+x AS (SELECT DISTINCT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+pairs AS (SELECT a.word, b.word AS o, b.n FROM x a JOIN x b ON a.v = b.v AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM x a JOIN w b ON a.v = b.word
+  UNION SELECT b.word, a.word, a.n FROM x a JOIN w b ON a.v = b.word),
+best AS (SELECT word, count(*) AS n_near, first(o ORDER BY n DESC, o) AS o, max(n) AS m FROM pairs GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN o END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n
+FROM f JOIN (SELECT word, root FROM chain WHERE root IN (SELECT word FROM f WHERE form IS NULL)) USING (word)
+"""
+
 OP12 = rf"""
 WITH t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, length(coalesce(text, '')) AS n,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), substr(coalesce(text, ''), 1, {TIE}),
@@ -126,4 +147,4 @@ FROM nodes x JOIN s USING (path) LEFT JOIN nodes u ON u.path = x.up
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": OP1, "op3_warc": OP3, "op7_url_rules": OP7, "op8_mixing": OP8, "op10_decontaminate": OP10,
-            "op12_prefix_trie": OP12}
+            "op11_spelling": OP11, "op12_prefix_trie": OP12}
