@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, katz, language, mixing, near_dup, pii, prefix_trie, quality, spelling, url_rules, warc
+from . import decontaminate, html_text, katz, language, mixing, near_dup, pii, posting_lists, prefix_trie, quality, spelling, url_rules, warc
 from .common import fold, materialise, read
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
@@ -79,8 +79,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.withColumnRenamed("ends", "ends_sha256").drop("turn")
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = posting_lists.vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return posting_lists.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
 QUERIES = (op1_quality_rules, op2_language, op3_warc, op4_html_text, op5_near_dup, op6_katz, op7_url_rules, op8_mixing,
-           op9_pii, op10_decontaminate, op11_spelling, op12_prefix_trie)
+           op9_pii, op10_decontaminate, op11_spelling, op12_prefix_trie, op13_neighbours)
 
 
 def queries() -> dict:
