@@ -8,7 +8,8 @@ Each distinct entity gets one surrogate, drawn from a keyed hash (SHA-512 of key
 entity and attempt), so the same entity has the same surrogate in all documents, and
 nobody without the key can reverse it. Surrogates keep the type's form:
 
-* digits become digits, letters letters of the same case, punctuation stays; phones keep
+* digits become digits, letters letters of the same case and script (scripts without a row in
+  ``LETTERS``: Latin ones), ASCII punctuation stays; phones keep
   their country code and layout, cards their first digit and a valid check digit if the
   original has one, IBANs country and a valid checksum, IPs their private range;
 * e-mail domains end in the reserved ``.example``;
@@ -17,13 +18,19 @@ nobody without the key can reverse it. Surrogates keep the type's form:
 
 Entities of one type with equal surrogates, or whose surrogate is itself an entity found
 in the data, are drawn anew (all but the smallest entity of each group) until none is
-left, so different entities stay different.
+left, so different entities stay different. A form may have fewer surrogates than entities (192.168.x.y, a
+secret of one letter): after ``FREE_DRAWS`` draws each further one makes the surrogate one character longer, and
+addresses leave their range (10.x.x.x, then public ones, then IPv6), so the draws end.
+
+A secret without a letter or digit (``password: ********``) is a mask and no entity.
 
 Edge cases: null and empty texts stay as they are; overlapping matches go to the leftmost,
 then the first type listed; repeated rows get equal results; an empty table gives an empty
-result; other columns stay as they are, whatever their names.
+result; other columns stay as they are, whatever their names; patterns take time in proportion to the
+text, however long, and so do the surrogates.
 
-Only texts that can hold an entity are joined with surrogates, keyed by the text's md5, so
+Each text is searched once: the search cuts it into pieces, alternately text and mention, which are
+written and read again. Only texts with a mention are joined with surrogates, keyed by the text's md5, so
 copies and texts with many mentions cost one row per distinct mention.
 """
 
@@ -39,8 +46,8 @@ _MALE = "Mr|Herr|Señor|Sr|Monsieur|Г-н|г-н|Господин|господи
 _TITLE = f"{_FEMALE}|{_MALE}|Dr|Prof"
 #: type -> Java pattern, in order of precedence
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[^\s\"'\p{L}\p{N}]*+[\p{L}\p{N}])[^\s\"']{6,}",
     "aws": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"
@@ -53,6 +60,22 @@ PATTERNS = {
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: a text without any of this holds no entity
 MAYBE = rf"[0-9@]|AKIA|ASIA|(?i:passw|pwd|secret|token|api[_-]?key)|(?:{_TITLE})\.?[ \t]"
+#: stands around mentions while a text is cut into pieces; a text's own are escaped
+MARK = "\uffff"
+#: draws of the entity's own form before surrogates get longer
+FREE_DRAWS = 4
+#: Java name of a script -> letters that stand for its letters
+LETTERS = {
+    "IsCyrillic": "абвгдежзиклмнопрстуфхцчшэюя",
+    "IsGreek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "IsHebrew": "אבגדהוזחטילמנסעפצקרשת",
+    "IsArabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "IsDevanagari": "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह",
+    "IsHiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねの",
+    "IsKatakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノ",
+    "IsHangul": "가나다라마바사아자차카타파하",
+    "IsHan": "天地山水火木金土日月人口手足上下大小",
+}
 #: sixteen syllables for each script
 SYLLABLES = {
     "latin": "ba de ki lo mu na pe ri so tu va we ze fo ga li",
@@ -76,12 +99,17 @@ def _pick(chars: str, n: str) -> str:
 
 
 def _same_form(text: str, keep: str = "0") -> str:
-    """Digits to digits, letters to letters of the same case; the first ``keep`` stay."""
-    r, c = _hash_byte("i"), f"substring({text}, i, 1)"
-    return (f"array_join(transform(sequence(1, length({text})), i -> case when i <= {keep} then {c} "
-            f"when {c} between '0' and '9' then {_pick('0123456789', r)} "
-            f"when {c} between 'a' and 'z' then {_pick('abcdefghijklmnopqrstuvwxyz', r)} "
-            f"when {c} between 'A' and 'Z' then {_pick('ABCDEFGHIJKLMNOPQRSTUVWXYZ', r)} else {c} end), '')")
+    """Digits to digits, letters to letters of the same case and script; ASCII punctuation and
+    the first ``keep`` stay. In proportion to the length: characters are split, not sought."""
+    r, latin = _hash_byte("(i + 1)"), "abcdefghijklmnopqrstuvwxyz"
+    script = " ".join(f"when c rlike '\\\\p{{{name}}}' then {_pick(letters, r)}" for name, letters in LETTERS.items())
+    letter = f"case {script} else {_pick(latin, r)} end"
+    return (f"array_join(transform(split({text}, ''), (c, i) -> case when i < {keep} then c "
+            f"when c between '0' and '9' then {_pick('0123456789', r)} "
+            f"when c between 'a' and 'z' then {_pick(latin, r)} "
+            f"when c between 'A' and 'Z' then {_pick(latin.upper(), r)} when ascii(c) < 128 then c "
+            f"when c rlike '\\\\p{{N}}' then {_pick('0123456789', r)} "
+            f"when c <> lower(c) then upper({letter}) else {letter} end), '')")
 
 
 def _luhn(body: str) -> str:
@@ -110,29 +138,32 @@ def _surrogate() -> str:
     """SQL of the surrogate of (type, entity) from the hash ``h``. Numbers without layout."""
     octet = lambda k: f"cast({_hash_byte(str(k))} % 254 + 1 as string)"
     part = lambda k: f"element_at(split(entity, '[.]'), {k})"
-    card = f"concat(substring(entity, 1, 1), substring({_same_form('entity')}, 2, length(entity) - 2))"
-    body = _same_form("substring(entity, 5)")
+    longer = f"greatest(attempt - {FREE_DRAWS}, 0)"
+    letters = f"substring(translate(h, '0123456789', 'ghijklmnop'), 1, {longer})"
+    digits = f"substring(translate(h, 'abcdef', '012345'), 65, {longer})"
+    card = f"concat(substring(entity, 1, 1), substring({_same_form('entity')}, 2, length(entity) - 2), {digits})"
+    body = f"concat({_same_form('substring(entity, 5)')}, {digits})"
     hexes = (f"array_join(transform(sequence(1, length(entity)), i -> {_pick('0123456789abcdef', _hash_byte('i'))}), '')")
+    inside = f"attempt < {FREE_DRAWS}"
+    wide = f"attempt >= {2 * FREE_DRAWS}"
     name = " ".join(f"when type like '{kind}%{script}' then {_syllables(script, kind)}" for kind in ("given", "surname") for script in SYLLABLES)
     return f"""case
-      when type = 'email' then concat({_same_form("regexp_extract(entity, '^([^@]*)@', 1)")}, '@', _domain, '.example')
-      when type = 'secret' and entity rlike '^[0-9a-f]+$' then {hexes}
-      when type = 'secret' then {_same_form('entity')}
+      when type = 'email' then concat({_same_form("regexp_extract(entity, '^([^@]*)@', 1)")}, {letters}, '@', _domain, '.example')
+      when type = 'secret' and entity rlike '^[0-9a-f]+$' then concat({hexes}, substring(h, 65, {longer}))
+      when type = 'secret' then concat({_same_form('entity')}, {letters})
       when type = 'aws' then {_same_form('entity', '4')}
       when type = 'iban' then concat(substring(entity, 1, 2), lpad(cast(98 - {_mod97(f"concat({body}, substring(entity, 1, 2), '00')")} as string), 2, '0'), {body})
-      when type = 'phone' then concat(regexp_extract(entity, '^([0-9]*)[|]', 1), {_same_form("regexp_extract(entity, '[|]([0-9]*)$', 1)")})
-      when type = 'ip' then concat_ws('.', case when {part(1)} in ('10', '127') or entity like '192.168.%' then {part(1)} else cast(11 + {_hash_byte('1')} % 89 as string) end,
-           case when entity like '192.168.%' then '168' else {octet(2)} end, {octet(3)}, {octet(4)})
-      when type = 'ssn' then {_same_form('entity')}
+      when type = 'phone' then concat(regexp_extract(entity, '^([0-9]*)[|]', 1), {_same_form("regexp_extract(entity, '[|]([0-9]*)$', 1)")}, {digits})
+      when type = 'ip' and attempt >= {3 * FREE_DRAWS} then concat('2001:db8:', array_join(transform(sequence(1, 6), i -> substring(h, i * 4 + 1, 4)), ':'))
+      when type = 'ip' then concat_ws('.', case when entity like '192.168.%' and {inside} then '192'
+           when (entity like '192.168.%' or {part(1)} = '10') and not {wide} then '10' when {part(1)} = '127' and not {wide} then '127' else cast(11 + {_hash_byte('1')} % 89 as string) end,
+           case when entity like '192.168.%' and {inside} then '168' else {octet(2)} end, {octet(3)}, {octet(4)})
+      when type = 'ssn' then concat({_same_form('entity')}, {digits})
       when type = 'card' then concat({card}, case when {_luhn('substring(entity, 1, length(entity) - 1)')} = substring(entity, length(entity), 1)
            then {_luhn(card)} else {_pick('0123456789', _hash_byte('60'))} end)
       {name} end"""
 
 
-def mentions(docs: DataFrame, text: str = "text") -> F.Column:
-    return F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0))
-
-
 def _parts(found: DataFrame) -> DataFrame:
     """(mention, pos, type, entity): the entities of each distinct mention, in a form that
     is the same for all spellings of the entity."""
@@ -156,7 +187,7 @@ def _parts(found: DataFrame) -> DataFrame:
     return plain.unionByName(tokens)
 
 
-_SECRET = r"^((?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(.*)$"
+_SECRET = r"(?s)^((?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(.*)$"
 _NAME = r"^([^ \t]+[ \t]+)(.*)$"
 
 
@@ -187,6 +218,7 @@ def replacements(found: DataFrame, key: str) -> DataFrame:
     joined = parts.join(named, ["type", "entity"])
     whole = joined.groupBy("mention").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "surrogate"))).alias("p"))
     c = "substring(mention, i, 1)"
+    plain = "length(regexp_replace(mention, '[^A-Za-z0-9]', ''))"
     layout = (f"array_join(transform(sequence(1, length(mention)), i -> case when {c} rlike '[A-Za-z0-9]' then "
               f"substring(p[0].surrogate, length(regexp_replace(substring(mention, 1, i), '[^A-Za-z0-9]', '')), 1) else {c} end), '')")
     title = f"regexp_extract(mention, {_q(_NAME)}, 1)"
@@ -197,30 +229,36 @@ def replacements(found: DataFrame, key: str) -> DataFrame:
     return whole.selectExpr("mention", f"if({kind} in ('given', 'surname'), 'person', {kind}) as type", f"""case
         when {kind} in ('given', 'surname') then {name}
         when {kind} = 'secret' then concat(regexp_extract(mention, {_q(_SECRET)}, 1), p[0].surrogate)
-        when {kind} in ('phone', 'card', 'ssn', 'iban') then {layout}
+        when {kind} in ('phone', 'card', 'ssn', 'iban') then concat({layout}, substring(p[0].surrogate, {plain} + 1))
         when {kind} = 'email' and upper(mention) = mention then upper(p[0].surrogate)
         else p[0].surrogate end as replacement""")
 
 
+def pieces(body: F.Column) -> F.Column:
+    """The text cut at its mentions: text, mention, text, ..., text. Joined they are the text."""
+    escaped = F.replace(body, F.lit(MARK), F.lit(MARK + "_"))
+    marked = F.regexp_replace(escaped, f"({PATTERN})", MARK + "<$1" + MARK + "<")
+    cut = F.split(F.when(body.rlike(MAYBE), marked).otherwise(escaped), MARK + "<", -1)
+    return F.transform(cut, lambda c: F.replace(c, F.lit(MARK + "_"), F.lit(MARK)))
+
+
 def replace_pii(docs: DataFrame, key: str = "surrogates", text: str = "text", count: str | None = None) -> DataFrame:
     """The documents with every mention replaced; columns stay as they are, plus the
     number of mentions as ``count`` if that is given."""
-    body = F.col(f"_row.`{text}`")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = rows.withColumn("_maybe", F.coalesce(body.rlike(MAYBE), F.lit(False)))
-    hits = rows.where("_maybe").select("_row", F.md5(body).alias("_digest"), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)).alias("_found"))
-    with_hits = hits.where(F.size("_found") > 0)
-    pairs = materialise(with_hits.select("_digest", F.explode(F.array_distinct("_found")).alias("mention")).distinct(), "pii-found")
+    body = F.col(f"`{text}`")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[c.alias(f"c{i}") for i, c in enumerate(others)]).alias("_row"),
+                       F.md5(body).alias("_digest"), pieces(body).alias("_pieces"))
+    rows = materialise(rows, "pii-pieces")
+    hits = rows.where(F.size("_pieces") > 1)
+    mention = F.explode(F.array_distinct(F.filter("_pieces", lambda p, i: i % 2 == 1)))
+    pairs = materialise(hits.select("_digest", mention.alias("mention")).distinct(), "pii-found")
     table = materialise(replacements(pairs.select("mention").distinct(), key), "pii-replacements")
     maps = pairs.join(table, "mention").groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("_map"))
-    maps = materialise(maps, "pii-maps").withColumnRenamed("_digest", "_d")
-    joined = with_hits.join(maps, F.col("_digest") == F.col("_d"))
-    pieces = F.split(body, PATTERN, -1)
-    new = F.array_join(F.zip_with(pieces, F.transform("_found", lambda m: F.element_at("_map", m)),
-                                  lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = joined.select("_row", new.alias("_new"), F.size("_found").cast("long").alias("_n"))
-    same = rows.where("not _maybe").select("_row", body.alias("_new"), F.lit(0).cast("long").alias("_n"))
-    none = hits.where(F.size("_found") == 0).select("_row", body.alias("_new"), F.lit(0).cast("long").alias("_n"))
-    out = changed.unionByName(same).unionByName(none)
-    columns = [F.col("_new").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*columns, *([F.col("_n").alias(count)] if count else []))
+    joined = hits.join(materialise(maps, "pii-maps"), "_digest")
+    new = F.transform("_pieces", lambda p, i: F.when(i % 2 == 1, F.element_at("_map", p)).otherwise(p))
+    changed = joined.select("_row", F.array_join(new, "").alias("_new"), F.floor(F.size("_pieces") / 2).cast("long").alias("_n"))
+    same = rows.where((F.size("_pieces") <= 1) | F.col("_pieces").isNull()).select("_row", F.array_join("_pieces", "").alias("_new"), F.lit(0).cast("long").alias("_n"))
+    place = {c: i for i, c in enumerate(c for c in docs.columns if c != text)}
+    columns = [F.col("_new").alias(c) if c == text else F.col(f"_row.c{place[c]}").alias(c) for c in docs.columns]
+    return changed.unionByName(same).select(*columns, *([F.col("_n").alias(count)] if count else []))

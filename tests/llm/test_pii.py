@@ -72,3 +72,40 @@ def test_keys_and_empty_table(spark):
     a, b, c = (pii.replace_pii(df, key=k).first().text for k in ("a", "b", "a"))
     assert a != b and a == c
     assert pii.replace_pii(df.where(F.lit(False))).count() == 0
+
+
+def replaced(spark, texts, key="k"):
+    got = pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key).collect()
+    return [r.text for r in sorted(got)]
+
+
+def test_masks_stay_and_letters_of_all_scripts_go(spark):
+    texts = ["password: ********", "password=••••••••", "password=пароль12", "token: ключ-Ω漢字-x9", "secret=a*****", "pwd=a*****", "pwd=b*****",
+             "see ￿_ and ￿< 8.8.8.8 ￿", "a@b.com+c@d.com", "password=äbc def1"]
+    got = replaced(spark, texts)
+    assert got[:2] == texts[:2]
+    assert re.fullmatch(r"password=[а-я]{6}\d\d", got[2]) and not set("пароль") == set(got[2][9:15]) and got[2] != texts[2]
+    assert re.fullmatch(r"token: [а-я]{4}-[Α-Ω]\w\w-[a-z]\d", got[3]) and "漢" not in got[3] and "ключ" not in got[3]
+    assert got[4].split("=")[1] == got[5].split("=")[1] != got[6].split("=")[1] and all(t not in got[4] + got[6] for t in ("a*****", "b*****"))
+    assert re.fullmatch("see ￿_ and ￿< [\\d.]+ ￿", got[7]) and "8.8.8.8" not in got[7]
+    assert re.fullmatch(r"[a-z]@[a-z]\.example[+]\w@[a-z]\.example|[a-z]@[a-z]\.example[+][a-z]@[a-z]\.example", got[8])
+    assert "äbc" not in got[9] and "def1" not in got[9]
+
+
+def test_forms_with_fewer_surrogates_than_entities(spark):
+    ips = [f"192.168.{i}.{j}" for i in range(256) for j in range(256)][:40000]
+    mails = [f"{c}@a.de" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    secrets = [f"{c}*****" for c in "abcdefghijklmnopqrstuvwxyz"]
+    kinds = {"ip": ips, "email": mails, "secret": secrets, "phone": [f"1|{i:02d}" for i in range(90)]}
+    got = pii.surrogates(spark.createDataFrame([(k, e) for k, es in kinds.items() for e in es], "type string, entity string"), "k").collect()
+    for kind, entities in kinds.items():
+        drawn = {r.surrogate for r in got if r.type == kind}
+        assert len(drawn) == len(entities) and not drawn & {e.replace("|", "") for e in entities}
+
+
+def test_long_runs_and_domains(spark):
+    run = "Ab3+x9Zq" * 131072
+    texts = [run, "x@a" + ".b" * 100000, "password=" + "s3cr€t" * 20000, "1 " * 300000, "A" * 1000000 + "@", "Mr " * 200000, "1.1." * 200000]
+    got = replaced(spark, texts)
+    assert got[0] == run and got[4] == texts[4] and len(got[1]) > 100000 and got[1].endswith(".example") and "s3cr€t" not in got[2]
+    assert ".b.b.b.b.b.b.b.b" not in got[1]
