@@ -21,7 +21,7 @@ from .operators import baseline as B
 from .operators import history as H
 from .operators.clean import nonzero_records, null_rows, zero_records, zero_rows
 from .operators.features import feature_columns
-from .operators.impute import group_median
+from .operators.impute import group_median, group_median_exact
 from .operators.quality import summary_stats, value_counts
 from .operators.score import fit_margin_model, score_linear, score_margin
 from .operators.split import rest_after, split_parts, split_side
@@ -173,6 +173,7 @@ def queries() -> dict[str, Query]:
         "zero_records": lambda s, d: zero_records(_extract(s, d)),
         # imputation
         "group_median": lambda s, d: group_median(nonzero_records(_extract(s, d))),
+        "group_median_exact": lambda s, d: group_median_exact(nonzero_records(_extract(s, d))),
         "impute_zero_margin": _imputed,
         "distinct_customers": lambda s, d: _imputed(s, d).select(S.CUSTOMER).distinct(),
         # split and time cut

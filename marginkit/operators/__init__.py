@@ -12,7 +12,7 @@ from .history import (  # noqa: F401
     anchor_days, day_summary, first_new_or_later, first_outcome, history_profile, history_rows, latest_and_prior,
     multi_purchase, new_anchor, prior_rows, prior_stats, purchase_gaps, rank_newest,
 )
-from .impute import group_median, impute_zero_margin  # noqa: F401
+from .impute import group_median, group_median_exact, impute_zero_margin  # noqa: F401
 from .joins import join_checked, materialize  # noqa: F401
 from .quality import profile_flags, summary_stats, value_counts  # noqa: F401
 from .split import rest_after, split_parts, split_side  # noqa: F401

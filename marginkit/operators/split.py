@@ -8,7 +8,7 @@ so it is identical at any partitioning and after any task retry.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -29,8 +29,8 @@ def split_side(rows: DataFrame, side: str, train_percent: int = TRAIN_PERCENT,
 
 
 def order_key(key: str = S.CUSTOMER):
-    """A 60-bit md5 value of the key: a stable pseudo-random order."""
-    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("long")
+    """A 60-bit md5 value of the key: a stable pseudo-random order. A NULL key comes first."""
+    return F.coalesce(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def split_parts(df: DataFrame, n_parts: int = 3, exact: bool = True, key: str = S.CUSTOMER) -> DataFrame:
@@ -40,11 +40,11 @@ def split_parts(df: DataFrame, n_parts: int = 3, exact: bool = True, key: str =
     each part but the last, which takes the rest) in md5 order, ties by key. The last
     (md5, key) of each part is found first, from the key column alone; then ``part`` is a
     comparison with these few values: no ranks, no join, nothing written. ``df`` is read
-    a few times, so pass a stored table. Rows that repeat a key stay in one part.
+    a few times, so pass a stored table. Rows that repeat a key stay in one part, NULL keys too.
     ``exact=False`` is one md5 bucket per key (near-equal, no extra pass).
     """
     if not exact:
-        return df.withColumn("part", (hash_bucket(F.col(key), n_parts) + 1).cast("int"))
+        return df.withColumn("part", (F.coalesce(hash_bucket(F.col(key), n_parts), F.lit(0)) + 1).cast("int"))
     keys = df.select(order_key(key).alias("_k"), F.col(key).alias("_key"))
     cells = _histogram(keys, 0, ORDER_BITS)
     total, bound, ends = sum(n for _, n in cells), 0, []
@@ -64,7 +64,7 @@ def split_parts(df: DataFrame, n_parts: int = 3, exact: bool = True, key: str =
 
 ORDER_BITS = 60          # of order_key
 CELL_BITS = 12           # cells of one histogram: 4096, which is what reaches the driver
-EXACT_ROWS = 100_000     # keys sorted by one task at most
+EXACT_ROWS = 100_000     # rows of a cell whose keys one task sorts
 
 
 def _histogram(keys: DataFrame, low: int, bits: int) -> list[tuple[int, int]]:
@@ -84,8 +84,10 @@ def _nth(keys: DataFrame, cells: list[tuple[int, int]], n: int, bits: int = ORDE
         n -= rows
     cell = keys.where(F.col("_k").between(start, start + (1 << width) - 1))
     if rows <= EXACT_ROWS or width == 0:
-        ordered = cell.orderBy("_k", "_key").limit(n)
-        return tuple(ordered.orderBy(F.col("_k").desc(), F.col("_key").desc()).first())
+        # keys, not rows: a key that repeats is one row here, however often
+        counted = cell.groupBy("_k", "_key").agg(F.count(F.lit(1)).alias("_n"))
+        upto = counted.withColumn("_upto", F.sum("_n").over(Window.orderBy("_k", "_key")))
+        return tuple(upto.where(F.col("_upto") >= n).orderBy("_k", "_key").select("_k", "_key").first())
     return _nth(keys, _histogram(keys, start, width), n, width)
 
 

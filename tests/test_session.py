@@ -8,9 +8,12 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
+#: what this process can import, its children can
+PATH = os.pathsep.join([ROOT, *[p for p in sys.path if p]])
+
 
 def _run(code, submit="", **env):
-    full = os.environ | {"PYTHONPATH": ROOT, "PYSPARK_SUBMIT_ARGS": f"{submit} pyspark-shell"} | env
+    full = os.environ | {"PYTHONPATH": PATH, "PYSPARK_SUBMIT_ARGS": f"{submit} pyspark-shell"} | env
     return subprocess.run([sys.executable, "-c", code], env=full, capture_output=True, text=True, timeout=300)
 
 
@@ -57,7 +60,7 @@ h = catalog._hist(s, '/root/testdata/sf0.001')
 assert h.where(F.to_date('last_update_timestamp') == F.lit('2000-01-02').cast('date')).count() > 0
 print('DONE')
 """
-    full = os.environ | {"PYTHONPATH": ROOT, "TZ": "America/New_York"}
+    full = os.environ | {"PYTHONPATH": PATH, "TZ": "America/New_York"}
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=full, capture_output=True, text=True, timeout=600)
     assert "DONE" in out.stdout, out.stderr[-2000:]
 
