@@ -7,10 +7,13 @@ r"""Approximate nearest neighbours by inner product: balanced posting lists behi
    band, are scaled to at most one and get one more coordinate that makes them unit vectors;
    unit queries have zero there. Bands have their own centroids, so a few long vectors do
    not blur the rest.
-3. Centroids are fitted by balanced splitting on a sample (rows by a hash of the id, about ``SAMPLE`` rows): one per
-   ``LIST_ROWS`` indexed rows, at most ``MAX_LISTS``; beyond that, lists grow with the table.
+3. Centroids are fitted by balanced splitting on a sample (rows by a hash of the id, about ``SAMPLE`` rows). Lists hold about the square root of the
+   number of indexed rows, ``LIST_ROWS`` at least, so their number and their length grow alike; at most
+   ``MAX_LISTS``, beyond which the lists alone grow.
 4. Every vector goes to its nearest centroid's list, and, near a boundary, to up to ``COPIES`` - 1
-   more: those at most ``BOUNDARY`` times as far that are not nearer to a chosen centroid than to the vector.
+   more: those at most ``BOUNDARY`` times as far that are not much nearer to a chosen centroid than to
+   the vector (``SPREAD``). In many dimensions centroids lie nearer to each other than any vector to them, so
+   "not nearer at all" would copy nothing.
 5. A query follows the centroid graph and reads the lists at most ``RATIO`` times as far as
    the nearest, however many they are, and the nearest ``LEAST_LISTS`` at any rate.
 6. Lists are cut in blocks of ``BLOCK_ROWS`` vectors and the queries that read a list in chunks of as
@@ -40,9 +43,9 @@ SAMPLE = 1 << 16
 LEAST_SAMPLE = 256
 LIST_ROWS = 128
 MAX_LISTS = 1 << 14
-COPIES, BOUNDARY = 4, 1.15
-RATIO = 1.25
-LEAST_LISTS = 4
+COPIES, BOUNDARY, SPREAD = 4, 1.15, 0.5
+RATIO = 1.06
+LEAST_LISTS = 8
 BLOCK_ROWS = 1 << 11
 SALTS = 16
 
@@ -98,7 +101,8 @@ def fit(rows: DataFrame) -> "dict[int, tuple[int, CentroidGraph]]":
         if not len(at):        # a band of very few rows can miss the sample; its list then needs no centre
             centroids = np.zeros((1, len(sample["vector"][0]) + 1 if len(sample) else 1), dtype=np.float32)
         else:
-            lists = max(1, min(-(-counts[b] // LIST_ROWS), -(-MAX_LISTS * counts[b] // total), len(at)))
+            length = max(LIST_ROWS, int(np.sqrt(total)))
+            lists = max(1, min(-(-counts[b] // length), -(-MAX_LISTS * counts[b] // total), len(at)))
             centroids = balanced_centroids(_unit(_matrix(sample["vector"].take(at)), b), lists)
         graphs[b] = (first, CentroidGraph(centroids))
         first += len(centroids)
@@ -120,7 +124,7 @@ def _chosen(x: np.ndarray, centroids: np.ndarray):
             good = (d[:, j] <= BOUNDARY ** 2 * d[:, 0]) & (take.sum(axis=1) < COPIES)
             for i in range(j):
                 gap = ((centroids[near[:, i]] - centroids[near[:, j]]) ** 2).sum(axis=1)
-                good &= ~take[:, i] | (gap >= d[:, j])
+                good &= ~take[:, i] | (gap >= SPREAD ** 2 * d[:, j])
             take[:, j] = good
         r, c = np.nonzero(take)
         out.append((at + r, near[r, c]))
@@ -194,7 +198,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, ratio: float = RATIO) -
     lists = materialise(postings(kept, shared), "postings")
     name = F.sha2(F.encode(F.array_join(F.col("vector").cast("array<string>"), ","), "UTF-8"), 256)
     asked = materialise(queries.select(F.col("vec_id").alias("query_id"), name.alias("query"), "vector"), "queries")
-    reads = materialise(probes(asked.groupBy("query").agg(F.first("vector").alias("vector")), shared, ratio), "probes")
+    # few bytes, much work: a stated number of partitions is not merged into one
+    distinct = asked.groupBy("query").agg(F.first("vector").alias("vector")).repartition(max(8, spark.sparkContext.defaultParallelism))
+    reads = materialise(probes(distinct, shared, ratio), "probes")
     shared.data.unpersist()
 
     # one unit of work is a block of a list and a chunk of the queries that read it; at most MAX_LISTS sizes, and one a band
