@@ -205,6 +205,10 @@ class Unigrams:
         self.d = discounts([int(size[self.count[:-1] == r].sum()) for r in range(1, GT_MAX + 2)])
         mass = float((self.weight(self.count[:-1]) * size).sum())
         self.unknown = self.tokens - mass                 # in units of 1 / tokens
+        self.scale = 1.0
+        if self.tokens and self.unknown < 0.5:            # no word is rare enough to be discounted: the unknown class counts one
+            self.scale = self.unknown = self.tokens / (self.tokens + 1)
+            self.scale *= self.tokens / mass
 
     def weight(self, counts: np.ndarray) -> np.ndarray:
         """d(c) c"""
@@ -218,7 +222,7 @@ class Unigrams:
         if not self.tokens:
             return np.zeros(len(number))
         c = self.counts(number)
-        return np.log10(np.where(c > 0, self.weight(c), self.unknown)) - np.log10(self.tokens)
+        return np.log10(np.where(c > 0, self.scale * self.weight(c), self.unknown)) - np.log10(self.tokens)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -369,7 +373,7 @@ class Histories:
         none = left <= 0
         self.scale = np.where(none, c / (c + 1), 1.0)
         left = np.where(none, 1 / (c + 1), left)
-        seen = ((tally[:, GT_MAX + 1:-1] * (uni.d[1:] * r)).sum(axis=1) + tally[:, -1]) / max(uni.tokens, 1)
+        seen = ((tally[:, GT_MAX + 1:-1] * (uni.d[1:] * r)).sum(axis=1) + tally[:, -1]) * uni.scale / max(uni.tokens, 1)
         self.alpha = np.log10(left) - np.log10(np.maximum(1 - seen, uni.unknown / max(uni.tokens, 1)))
 
 

@@ -20,6 +20,9 @@ class Brute:
         counts = lambda c: [Counter(c.values())[r] for r in range(1, katz.GT_MAX + 2)]
         self.d1, self.d2 = katz.discounts(counts(self.uni)), katz.discounts(counts(self.bi))
         self.unknown = self.n - sum(self.w(self.d1, c) for c in self.uni.values())
+        self.scale = 1
+        if self.unknown < 0.5:
+            self.scale, self.unknown = self.n / (self.n + 1) * self.n / (self.n - self.unknown), self.n / (self.n + 1)
         self.c, self.left, self.seen = Counter(), Counter(), Counter()
         for (h, w), c in self.bi.items():
             self.c[h] += c
@@ -30,7 +33,7 @@ class Brute:
         return d[c] * c if c <= katz.GT_MAX else c
 
     def p1(self, w):
-        return (self.w(self.d1, self.uni[w]) if w in self.uni else self.unknown) / self.n
+        return (self.scale * self.w(self.d1, self.uni[w]) if w in self.uni else self.unknown) / self.n
 
     def p(self, h, w):
         if not self.c[h]:
@@ -79,3 +82,14 @@ def test_packing_and_discounts():
     assert all(0 < x < 1 for x in katz.discounts([100, 40, 20, 12, 8, 5])[1:])
     for odd in ([0] * 6, [5, 0, 0, 0, 0, 0], [1, 9, 9, 9, 9, 9], [0, 3, 0, 2, 0, 0]):
         assert all(0 < x < 1 for x in katz.discounts(odd)[1:])
+
+
+def test_unknown_words_after_frequent_ones_only(spark):
+    texts = ["a b a b"] * 6 + ["a c", "zz", ""]
+    m = Brute([folded(t) + ["</s>"] for t in texts[:6]])
+    assert sum(m.p1(w) for w in m.uni) + m.p1("\0") == pytest.approx(1, abs=1e-12)
+    df = spark.createDataFrame([(i, i >= 6, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    for r in katz.score_corpus(df).collect():
+        t = folded(texts[r.doc_id]) + ["</s>"]
+        assert math.isfinite(r.score)
+        assert r.score == pytest.approx(sum(math.log10(m.p(h, w)) for h, w in zip(["<s>"] + t[:-1], t)), abs=1e-9)
