@@ -21,6 +21,7 @@ from .operators import baseline as B
 from .operators import history as H
 from .operators.clean import nonzero_records, null_rows, zero_records, zero_rows
 from .operators.features import feature_columns
+from .operators import linear
 from .operators.impute import group_median, group_median_exact
 from .operators.quality import summary_stats, value_counts
 from .operators.score import fit_margin_model, score_linear, score_margin
@@ -109,6 +110,15 @@ def _saved_table(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name)
 
 
+def _gram(spark: SparkSession, d: str) -> DataFrame:
+    """The sums of the fit, whole numbers written as text (they may pass a long)."""
+    return linear.gram(plans.training_table(_live(spark, d))).withColumn("total", F.col("total").cast("string"))
+
+
+def _fitted(spark: SparkSession, d: str) -> DataFrame:
+    return linear.fit_linear(plans.training_table(_live(spark, d)))
+
+
 def _linear_weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LINEAR_WEIGHTS, "term string, weight double")
 
@@ -239,6 +249,9 @@ def queries() -> dict[str, Query]:
                                                     SUMMARY_COLUMNS),
         "saved_table": _saved_table,
         "score_linear": lambda s, d: score_linear(_scoring_us(s, d), _linear_weights(s)),
+        "fit_linear": _gram,
+        "fit_linear_weights": _fitted,
+        "smape_model": lambda s, d: plans.smape_model(_live(s, d), _hist(s, d), _fitted(s, d)),
         "sink_roundtrip": _sink_roundtrip,
         "sql_surface": _sql_surface,
         "sorted_output": lambda s, d: _sorted(plans.training_table(_live(s, d))),

@@ -17,7 +17,8 @@ STATISTICS = ("count", "mean", "stddev", "min", "p25", "p50", "p75", "max")
 STAT_DIGITS = 6
 
 
-def profile_flags(df: DataFrame, stages: dict[str, tuple[Column, Column]], rejected: Column | None = None) -> DataFrame:
+def profile_flags(df: DataFrame, stages: dict[str, tuple[Column, Column]], rejected: Column | None = None,
+                  of_customers: dict[str, tuple[str, DataFrame]] | None = None) -> DataFrame:
     """A12 for several stages of one flow in a single scan.
 
     ``stages`` maps a stage name to (membership condition, margin column); ``rejected``
@@ -25,6 +26,10 @@ def profile_flags(df: DataFrame, stages: dict[str, tuple[Column, Column]], rejec
     are first reduced per customer (partial aggregation absorbs a hot customer),
     then summed: distinct customers are the customers with a non-zero count, so
     no ``countDistinct`` (and no row expansion per stage) is needed.
+
+    ``of_customers`` maps a further stage to (an earlier stage, a table): the rows of that
+    stage whose customer is in the table. Both sides are reduced to one row per customer
+    before they are joined, so no customer is too hot for a join task.
     """
     per_customer = []
     bad = F.lit(False) if rejected is None else rejected
@@ -34,9 +39,16 @@ def profile_flags(df: DataFrame, stages: dict[str, tuple[Column, Column]], rejec
                          F.count_if(cond & (margin == 0)).alias(f"z{i}"),
                          F.count_if(cond & bad).alias(f"b{i}")]
     pc = df.groupBy(S.CUSTOMER).agg(*per_customer)
+    names = list(stages)
+    for name, (of, customers) in (of_customers or {}).items():
+        i, k = names.index(of), len(names)
+        there = customers.select(S.CUSTOMER).distinct().withColumn("_there", F.lit(True))
+        pc = pc.join(there, S.CUSTOMER, "left").select(
+            *pc.columns, *[F.when(F.col("_there"), F.col(f"{x}{i}")).otherwise(F.lit(0)).alias(f"{x}{k}") for x in "rnzb"])
+        names.append(name)
     known = F.col(S.CUSTOMER).isNotNull()
     totals = []
-    for i in range(len(stages)):
+    for i in range(len(names)):
         totals += [F.sum(f"r{i}").alias(f"r{i}"), F.count_if(known & (F.col(f"r{i}") > 0)).alias(f"c{i}"),
                    F.sum(f"n{i}").alias(f"n{i}"), F.sum(f"z{i}").alias(f"z{i}"),
                    F.sum(f"b{i}").alias(f"b{i}")]
@@ -46,7 +58,7 @@ def profile_flags(df: DataFrame, stages: dict[str, tuple[Column, Column]], rejec
                      F.coalesce(F.col(f"n{i}"), F.lit(0)).cast("long").alias("n_null_margin"),
                      F.coalesce(F.col(f"z{i}"), F.lit(0)).cast("long").alias("n_zero_margin"),
                      F.coalesce(F.col(f"b{i}"), F.lit(0)).cast("long").alias("n_rejected_year"))
-            for i, name in enumerate(stages)]
+            for i, name in enumerate(names)]
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 

@@ -76,14 +76,16 @@ LINEAR_TERMS = {
                                  "Repurchased_AFTER_5_yrs"),
     "lease_purchase_flag": ("Zero", "One"),
 }
+#: ``column=MISSING`` is the weight of a number that is NULL
+MISSING = "(missing)"
 
 
-def score_linear(features: DataFrame, weights: DataFrame) -> DataFrame:
+def score_linear(features: DataFrame, weights: DataFrame, keep: list | None = None) -> DataFrame:
     """C9 with given coefficients: ``weights`` is a table (term, weight), terms being
-    ``intercept``, a numeric column, or ``column=category``. The prediction is their sum
-    in whole cents, so it does not depend on the order of adding; a NULL input or a term
-    without weight adds 0. The weights are a few named terms, grouped to one row and used
-    as a scalar subquery."""
+    ``intercept``, a numeric column, ``column=category``, or ``column=(missing)`` for a
+    number that is NULL or NaN. The prediction is their sum in whole cents, so it does not depend
+    on the order of adding; a NULL category or a term without weight adds 0. The weights are a few named terms, grouped to one row and used
+    as a scalar subquery. ``keep`` lists further columns of the result."""
     table = weights.where(F.col("term").isin(_linear_names())).agg(
         F.map_from_entries(F.collect_list(F.struct("term", F.col("weight").cast("double")))).alias("w")).scalar()
 
@@ -95,12 +97,13 @@ def score_linear(features: DataFrame, weights: DataFrame) -> DataFrame:
 
     total = cents(weight("intercept"))
     for c in NUMERIC:
-        total = total + cents(weight(c) * F.col(c).cast("double"))
+        gone = F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+        total = total + F.when(gone, cents(weight(f"{c}={MISSING}"))).otherwise(cents(weight(c) * F.col(c).cast("double")))
     for c, names in LINEAR_TERMS.items():
         for name in names:
             total = total + F.when(F.col(c) == name, cents(weight(f"{c}={name}"))).otherwise(F.lit(0).cast("long"))
-    return features.select(S.CUSTOMER, (total.cast("double") / F.lit(100.0)).alias("predicted_margin"))
+    return features.select(S.CUSTOMER, (total.cast("double") / F.lit(100.0)).alias("predicted_margin"), *(keep or []))
 
 
 def _linear_names() -> list[str]:
-    return ["intercept", *NUMERIC, *[f"{c}={n}" for c, names in LINEAR_TERMS.items() for n in names]]
+    return ["intercept", *NUMERIC, *[f"{c}={MISSING}" for c in NUMERIC], *[f"{c}={n}" for c, names in LINEAR_TERMS.items() for n in names]]

@@ -18,12 +18,13 @@ from .. import schema as S
 from ..functions.columns import hash_bucket, rejected_int
 from ..operators.baseline import baseline_imputed, baseline_margin, cohort_match, match_back, recent_mean
 from ..operators.clean import clean_ownership, nonzero_records, time_cut
-from ..operators.evaluate import smape
+from ..operators.evaluate import smape, smape_paired
 from ..operators.features import customer_summary, feature_columns, model_features, with_target
 from ..operators.history import first_outcome, history_profile
 from ..operators.impute import group_median, impute_zero_margin
 from ..operators.joins import join_checked, materialize
 from ..operators.quality import profile_flags
+from ..operators.score import score_linear
 from ..operators.split import TRAIN_PERCENT, split_side
 from ..sources.extract import extract_outcome, extract_ownership, extract_snapshot
 
@@ -75,11 +76,11 @@ def training_quality_profile(live: DataFrame, flow: S.Flow = S.US_FLOW, medians:
 
 def scoring_quality_profile(live: DataFrame, history: DataFrame, flow: S.Flow = S.US_FLOW) -> DataFrame:
     """A12 over the stages of C5: retail snapshot extract, non-zero, imputed, and the
-    rows of customers who bought again."""
+    rows of customers who bought again. Rows are counted per customer before the customers
+    of the outcome window are joined, so a customer's rows never meet in one join task."""
     ex = extract_snapshot(history, flow.calendar.snapshot, flow.snapshot_extract())
-    again = outcome_rows(live, flow).select(S.CUSTOMER).distinct().withColumn("_again", F.lit(True))
-    rows = ex.where(F.col(S.CUSTOMER_TYPE) == S.RETAIL_CODE).join(again, S.CUSTOMER, "left")
-    return _flow_profile(rows, {"bought_again": F.col("_again").isNotNull()}, keep=("_again",))
+    rows = ex.where(F.col(S.CUSTOMER_TYPE) == S.RETAIL_CODE)
+    return _flow_profile(rows, {}, of_customers={"bought_again": ("imputed", outcome_rows(live, flow))})
 
 
 def baseline_quality_profile(history: DataFrame, flow: S.Flow = S.US_FLOW) -> DataFrame:
@@ -96,11 +97,10 @@ def baseline_quality_profile(history: DataFrame, flow: S.Flow = S.US_FLOW) -> Da
     }, bad)
 
 
-def _flow_profile(extract: DataFrame, more: dict, keep: tuple = (), medians: DataFrame | None = None) -> DataFrame:
+def _flow_profile(extract: DataFrame, more: dict, medians: DataFrame | None = None, of_customers: dict | None = None) -> DataFrame:
     """Stages extract, non-zero and imputed of C1 on ``extract``, plus the imputed rows that
-    meet each further condition."""
-    flags = [F.col(c) for c in keep]
-    rows = clean_ownership(extract, keep_zero_flag=True, extra=[rejected_int(F.col(S.MODEL_YEAR)).alias("_bad_year"), *flags])
+    meet each further condition, and the rows of a stage whose customers are in a table."""
+    rows = clean_ownership(extract, keep_zero_flag=True, extra=[rejected_int(F.col(S.MODEL_YEAR)).alias("_bad_year")])
     m, zero = F.col(S.MARGIN), F.col("_zero")
     if medians is None:
         medians = group_median(rows.where(~zero))
@@ -112,7 +112,7 @@ def _flow_profile(extract: DataFrame, more: dict, keep: tuple = (), medians: Dat
         "nonzero": (F.coalesce(~zero, F.lit(False)), m),
         "imputed": (imputed, margin),
         **{name: (imputed & condition, margin) for name, condition in more.items()},
-    }, F.col("_bad_year"))
+    }, F.col("_bad_year"), of_customers)
 
 
 # --- C2 / C3 -----------------------------------------------------------------
@@ -256,3 +256,16 @@ def smape_compare(live: DataFrame, history: DataFrame, flow: S.Flow = S.US_FLOW,
     base = baseline_match(live, history, flow, fallback)
     joined = scored.join(base.select(S.CUSTOMER, F.col("avg_cm_imputed").alias("current_model")), S.CUSTOMER)
     return smape(joined, {name: name, "current_model": "current_model"})
+
+
+def smape_model(live: DataFrame, history: DataFrame, weights: DataFrame, flow: S.Flow = S.US_FLOW, fallback=None) -> DataFrame:
+    """C8 with a model: the linear model of ``weights`` (fitted or given) and the mean
+    margin, each paired with the incumbent baseline on the same customers.
+
+    The scoring table carries the model's inputs and the outcome, so the model is applied
+    to it row by row; one join brings the baseline."""
+    feats = scoring_features(live, history, flow)
+    scored = score_linear(feats, weights, keep=[F.col("Latest_CM"), F.col("avg_imputed_contribution_margin").alias(PROXY)])
+    base = baseline_match(live, history, flow, fallback).select(S.CUSTOMER, F.col("avg_cm_imputed").alias("current_model"))
+    joined = scored.withColumnRenamed("predicted_margin", "linear_model").join(base, S.CUSTOMER)
+    return smape_paired(joined, ["linear_model", PROXY], "current_model")
