@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +43,25 @@ class Shared:
         return self.loaded
 
 
+def lean(function):
+    """A ``mapInArrow`` function that gives memory back when its partition ends. Spark keeps
+    Python workers between stages, and what they have freed stays theirs unless trimmed, so
+    idle workers would take room beside the executor's heap."""
+    def run(batches):
+        yield from function(batches)
+        trim()
+    return run
+
+
+def trim() -> None:
+    """Return freed memory of Arrow's pool and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):   # another C library
+        pass
+
+
 def fold(column) -> F.Column:
     """Lower-case A-Z only."""
     return F.translate(column, UPPER, LOWER)

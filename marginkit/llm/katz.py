@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import SPACE_WORDS, mix, split_words, text_chunks
-from .common import Shared, materialise
+from .common import Shared, lean, materialise, trim
 
 BATCH_TOKENS = 1_500_000
 BUCKET_TOKENS = 3_000_000
@@ -98,7 +98,7 @@ def batches(docs: DataFrame) -> DataFrame:
         if ids:
             yield _batch(number, ids, held, np.concatenate(sizes), np.concatenate(hashes))
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, BATCH)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(lean(run), BATCH)
 
 
 def _batch(number, ids, held, sizes, tokens):
@@ -132,7 +132,7 @@ def _word_parts(table: DataFrame, buckets: int) -> DataFrame:
                     [pa.array(have), pa.array([row["batch"]] * len(have), type=pa.int64()),
                      pa.array([pack(np.diff(words[cut[b]:cut[b + 1]], prepend=np.uint64(0))) for b in have], type=pa.binary()),
                      pa.array([pack(train[cut[b]:cut[b + 1]]) for b in have], type=pa.binary())], names=["bucket", "batch", "words", "train"])
-    return table.select("batch", "words", "train").mapInArrow(run, "bucket long, batch long, words binary, train binary")
+    return table.select("batch", "words", "train").mapInArrow(lean(run), "bucket long, batch long, words binary, train binary")
 
 
 WORDS = "bucket long, c binary, batches array<bigint>, sizes array<int>, places binary"
@@ -160,7 +160,7 @@ def _count_classes(words: DataFrame) -> DataFrame:
                 known = c > 0
                 yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * int(known.sum()), type=pa.int64()), pa.array(c[known]),
                                                   pa.array(n[known].astype(np.int64))], names=["bucket", "c", "n"])
-    return words.select("bucket", "c").mapInArrow(run, "bucket long, c long, n long")
+    return words.select("bucket", "c").mapInArrow(lean(run), "bucket long, c long, n long")
 
 
 def _numbers(words: DataFrame, classes: DataFrame, shared) -> DataFrame:
@@ -188,7 +188,7 @@ def _numbers(words: DataFrame, classes: DataFrame, shared) -> DataFrame:
                     [pa.array(row["batches"], type=pa.int64()), pa.array([row["bucket"]] * len(row["batches"]), type=pa.int64()),
                      pa.array([pack(found[x:y]) for x, y in zip(cut, cut[1:])], type=pa.binary())], names=["batch", "bucket", "numbers"])
 
-    rows = words.join(offsets, "bucket", "left").mapInArrow(run, "batch long, bucket long, numbers binary")
+    rows = words.join(offsets, "bucket", "left").mapInArrow(lean(run), "batch long, bucket long, numbers binary")
     return rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "numbers"))).alias("slots"))
 
 
@@ -262,7 +262,7 @@ def _pair_rows(joined: DataFrame, shared, buckets: int) -> DataFrame:
                 number = np.empty(len(places), dtype=np.int64)
                 number[places] = np.concatenate([unpack(s["numbers"]) for s in row["slots"]])
                 yield from _pairs_of(row, number, uni, buckets)
-    return joined.mapInArrow(run, PAIRS)
+    return joined.mapInArrow(lean(run), PAIRS)
 
 
 def _rows(part: pa.RecordBatch):
@@ -328,23 +328,36 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """The rows of one bucket as one row; a batch's own row stays."""
+    """The rows of one bucket as one row; a batch's own row stays. One column is unpacked
+    at a time, and memory is given back at the end."""
     if table.column("bucket")[0].as_py() < 0:
         return table
     table = table.sort_by("batch")
-    rows = table.select(["batch", "h", "w", "count", "holders", "doc", "times"]).to_pylist()
-    parts = {c: [unpack(r[c]) for r in rows] for c in ("h", "w", "count", "holders", "doc", "times")}
-    source = np.repeat(np.arange(len(rows)), [len(x) for x in parts["doc"]])
-    h, w, count, holders, doc, times = (np.concatenate(parts[c]) for c in ("h", "w", "count", "holders", "doc", "times"))
-    begin = np.cumsum(holders) - holders
+
+    def column(name):
+        return [unpack(x.as_py()) for x in table.column(name)]
+
+    h, w = (np.concatenate(column(c)) for c in "hw")
     order = np.lexsort((w, h))
     h, w = h[order], w[order]
     start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
-    entries = _ranges(begin[order], holders[order])
-    merged = _row(bucket=table.column("bucket")[0].as_py(), h=pack(h[start]), w=pack(w[start]),
-                  count=pack(np.add.reduceat(count[order], start)), holders=pack(np.add.reduceat(holders[order], start)),
-                  batches=[r["batch"] for r in rows], from_batch=pack(source[entries]), doc=pack(doc[entries]), times=pack(times[entries]))
-    return pa.Table.from_batches([merged])
+    out = dict(bucket=table.column("bucket")[0].as_py(), batches=table.column("batch").to_pylist(), h=pack(h[start]), w=pack(w[start]))
+    del h, w
+    out["count"] = pack(np.add.reduceat(np.concatenate(column("count"))[order], start))
+    holders = np.concatenate(column("holders"))
+    out["holders"] = pack(np.add.reduceat(holders[order], start))
+    entries = _ranges((np.cumsum(holders) - holders)[order], holders[order])
+    del holders, order, start
+    out["times"] = pack(np.concatenate(column("times"))[entries])
+    docs = column("doc")
+    sizes = [len(x) for x in docs]
+    out["doc"] = pack(np.concatenate(docs)[entries])
+    del docs
+    out["from_batch"] = pack(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[entries])
+    merged = pa.Table.from_batches([_row(**out)])
+    del entries, out
+    trim()
+    return merged
 
 
 # --- discounts, backoff weights, scores ------------------------------------------------
@@ -457,7 +470,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
                          (sums.tobytes(), pa.binary()), *[(own.get(f), _PAIR_ARROW.field(f).type) for f in ("ids", "held", "n", "known", "base")])],
                         names=["batch", "bucket", "doc", "sums", "ids", "held", "n", "known", "base"])
 
-    partial = pairs.mapInArrow(score, "batch long, bucket long, doc binary, sums binary, ids array<bigint>, held array<boolean>, "
+    partial = pairs.mapInArrow(lean(score), "batch long, bucket long, doc binary, sums binary, ids array<bigint>, held array<boolean>, "
                                       "n array<int>, known array<int>, base array<double>")
     tokens = uni.tokens
 
@@ -500,10 +513,10 @@ def _model(pairs: DataFrame, uni: Unigrams, starts: int) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(HOT + 2, dtype=np.int32)), pa.array(list(sums), type=pa.list_(pa.int64()))], names=["h", "t"])
 
     counts = np.zeros((HOT + 1, HOT), dtype=np.int64)
-    got = hot.mapInArrow(hot_counts, "h int, w int, n long").groupBy("h", "w").agg(F.sum("n").alias("n")).toArrow()
+    got = hot.mapInArrow(lean(hot_counts), "h int, w int, n long").groupBy("h", "w").agg(F.sum("n").alias("n")).toArrow()
     counts[got["h"].to_numpy(), got["w"].to_numpy()] = got["n"].to_numpy()
     tally = np.zeros((HOT + 2, 2 * GT_MAX + 2), dtype=np.int64)
-    cells = cold.mapInArrow(tallies, "h int, t array<bigint>").select("h", F.posexplode("t").alias("k", "n")).groupBy("h", "k").agg(F.sum("n").alias("n")).toArrow()
+    cells = cold.mapInArrow(lean(tallies), "h int, t array<bigint>").select("h", F.posexplode("t").alias("k", "n")).groupBy("h", "k").agg(F.sum("n").alias("n")).toArrow()
     tally[cells["h"].to_numpy(), cells["k"].to_numpy()] = cells["n"].to_numpy()
     h, w = np.nonzero(counts)
     tally[:HOT + 1] += _tally(h, w, counts[h, w], uni, HOT + 1)
