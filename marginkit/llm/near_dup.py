@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .bagminhash import band_keys, signatures
 from .bytescan import SPACE_WORDS, mix, split_words, text_chunks, windows
-from .common import WORD, Shared, fold, materialise
+from .common import WORD, Shared, fold, lean, materialise
 from .components import components
 
 SHINGLE = 5
@@ -94,7 +94,7 @@ def band_table(texts: DataFrame) -> DataFrame:
                     [pa.array([digest[i] for i in new], type=pa.binary()), pa.array(total),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1) * BANDS, type=pa.int32()), pa.array(keys.ravel()))],
                     names=["digest", "n", "bands"])
-    return texts.select("digest", "text").mapInArrow(sign, "digest binary, n long, bands array<bigint>")
+    return texts.select("digest", "text").mapInArrow(lean(sign), "digest binary, n long, bands array<bigint>")
 
 
 def _once_per_task(texts: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _once_per_task(texts: DataFrame) -> DataFrame:
                     new.append(i)
             if new:
                 yield batch.take(pa.array(new))
-    return texts.select("digest", "text").mapInArrow(first, "digest binary, text string")
+    return texts.select("digest", "text").mapInArrow(lean(first), "digest binary, text string")
 
 
 def _overlaps(a: "pa.Array", b: "pa.Array") -> np.ndarray:
@@ -143,7 +143,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
     a = texts.select(F.col("digest").alias("a"), F.col("text").alias("_a"))
     b = texts.select(F.col("digest").alias("b"), F.col("text").alias("_b"))
     return (pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b")
-            .mapInArrow(check, "a binary, b binary"))
+            .mapInArrow(lean(check), "a binary, b binary"))
 
 
 def link_texts(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -232,7 +232,7 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, similar: float) -> DataFram
                 at = np.flatnonzero(got)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(got[at].astype(np.int64))], names=["cell", "n"])
 
-    table = texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()   # SKETCH rows at most
+    table = texts.mapInArrow(lean(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()   # SKETCH rows at most
     sketch = np.zeros(SKETCH, dtype=np.int64)
     sketch[table["cell"].to_numpy()] = table["n"].to_numpy()
     shared = Shared(texts.sparkSession, sketch)
@@ -259,7 +259,7 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, similar: float) -> DataFram
                     yield pa.RecordBatch.from_arrays([digest.take(pa.array(a + doc[part])), pa.array(value[part]), pa.array(place[part].astype(np.int32)), before],
                                                      names=["digest", "element", "place", "before"])
 
-    heads = texts.mapInArrow(prefixes, "digest binary, element long, place int, before array<bigint>")
+    heads = texts.mapInArrow(lean(prefixes), "digest binary, element long, place int, before array<bigint>")
     heads = materialise(heads.join(rest, "digest"), "prefixes")
     sizes = heads.groupBy("element", "label").agg(F.count(F.lit(1)).alias("_n"))
     several = materialise(sizes.groupBy("element").agg(F.max(F.struct("_n", "label")).alias("_m"), F.count(F.lit(1)).alias("_k"))
