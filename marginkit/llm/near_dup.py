@@ -151,17 +151,18 @@ def link_texts(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     signed = materialise(band_table(texts), "bands")
     rows = signed.select("digest", "n", F.posexplode("bands").alias("band", "key"))
     rows = rows.select(F.xxhash64("band", "key").alias("bucket"), "digest", "n")
-    crowded = (rows.groupBy("bucket").agg(F.min("digest").alias("main"), F.max("digest").alias("_other"))
-               .where("main <> _other").drop("_other"))
+    crowded = (rows.groupBy("bucket").agg(F.min(F.struct("digest", "n")).alias("_main"), F.max("digest").alias("_other"))
+               .where(F.col("_main.digest") != F.col("_other"))
+               .select("bucket", F.col("_main.digest").alias("main"), F.col("_main.n").alias("main_n")))
     buckets = materialise(crowded, "buckets")
-    members = materialise(rows.join(buckets, "bucket").select("bucket", "main", "digest", "n").distinct(), "members")
+    members = materialise(rows.join(buckets, "bucket").select("bucket", "main", "main_n", "digest", "n").distinct(), "members")
     used = members.select("digest").distinct()
     near = materialise(_once_per_task(texts).join(used, "digest").groupBy("digest").agg(F.first("text").alias("text")), "near-texts")
     labels = materialise(used.withColumn("label", F.col("digest")), "labels")
 
-    # one centre per bucket
-    first = members.where("digest = main").select("bucket", F.col("digest").alias("c"), F.col("n").alias("cn"), F.col("main").alias("cl"))
-    pairs = _met(members.withColumn("label", F.col("digest")), materialise(first, "centres"), similar)
+    # one centre per bucket; two texts that share many buckets are compared once
+    first = members.where((F.col("digest") != F.col("main")) & _fitting("n", "main_n", similar))
+    pairs = materialise(first.select(F.col("main").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
     links = materialise(verified(pairs, near, similar), "links")
     labels = _merged(labels, links)
 
@@ -170,11 +171,12 @@ def link_texts(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     if open_buckets.isEmpty():
         return labels
     degree = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("degree"))
-    live = members.join(open_buckets, "bucket").join(labels, "digest")
+    live = materialise(members.where("digest <> main").join(open_buckets, "bucket").join(labels, "digest"), "live")
     turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("degree").desc_nulls_last(), "digest"))
-    hubs = live.where("digest <> main").join(degree, "digest", "left").withColumn("_turn", turn).where(F.col("_turn") <= HUBS)
-    hubs = materialise(hubs.select("bucket", F.col("digest").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")), "centres")
-    labels = _merged(labels, materialise(verified(_met(materialise(live, "live"), hubs, similar), near, similar), "links"))
+    hubs = live.join(degree, "digest", "left").withColumn("_turn", turn).where(F.col("_turn") <= HUBS)
+    hubs = hubs.groupBy("bucket").agg(F.collect_list(F.struct(F.col("digest").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))).alias("hubs"))
+    pairs = _hub_pairs(live, materialise(hubs, "centres"), pairs, similar)
+    labels = _merged(labels, materialise(verified(pairs, near, similar), "links"))
 
     # what is still open: every pair that could be similar, by prefix filtering
     open_buckets = _open(members, labels)
@@ -185,11 +187,21 @@ def link_texts(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return _merged(labels, materialise(verified(pairs, near, similar), "links"))
 
 
-def _met(live: DataFrame, centres: DataFrame, similar: float) -> DataFrame:
-    """Members and centres of a bucket that are of different classes and of fitting size."""
-    fits = F.least("n", "cn") >= F.greatest("n", "cn") * F.lit(similar)
-    met = live.join(centres, "bucket").where((F.col("label") != F.col("cl")) & fits)
-    return materialise(met.select(F.least("digest", "c").alias("a"), F.greatest("digest", "c").alias("b")).distinct(), "pairs")
+def _fitting(n, other, similar: float):
+    """Sizes that do not rule out the similarity."""
+    return F.least(n, other) >= F.greatest(n, other) * F.lit(similar)
+
+
+def _hub_pairs(live: DataFrame, hubs: DataFrame, done: DataFrame, similar: float) -> DataFrame:
+    """Members and hubs of their buckets that are of different classes and of fitting size, without the pairs
+    ``done``. A bucket's hubs are one row with a short list (``HUBS``), and the lists of a text's buckets
+    become one before pairs are made, so a text in all ``BANDS`` buckets of a group meets each hub once."""
+    fits = F.filter("hubs", lambda h: (h.cl != F.col("label")) & _fitting("n", h.cn, similar))
+    met = live.join(hubs, "bucket").select("digest", fits.alias("hubs"))
+    met = met.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
+    met = met.select("digest", F.explode("hubs").alias("_hub")).select("digest", F.col("_hub.c").alias("c"))
+    met = met.select(F.least("digest", "c").alias("a"), F.greatest("digest", "c").alias("b")).distinct()
+    return materialise(met.join(done, ["a", "b"], "left_anti"), "pairs")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -268,7 +280,7 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, similar: float) -> DataFram
     # one side leaves out the element's largest class, so a class is never paired with itself
     left = right.where("label <> _most").select("element", F.col("digest").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"),
                                                 F.col("place").alias("cplace"), F.col("before").alias("cbefore"))
-    fits = F.least("n", "cn") >= F.greatest("n", "cn") * F.lit(similar)
+    fits = _fitting("n", "cn", similar)
     enough = F.least(F.col("n") - F.col("place"), F.col("cn") - F.col("cplace")) >= (F.col("n") + F.col("cn")) * F.lit(similar / (1 + similar)) - 1e-6
     fresh = ~F.arrays_overlap("before", "cbefore")
     met = right.drop("_most").join(materialise(left, "prefixes"), "element").where((F.col("label") != F.col("cl")) & fits & enough & fresh)

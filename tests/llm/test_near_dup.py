@@ -80,6 +80,20 @@ def test_prefixes_of_long_texts_stay_linear(spark, monkeypatch, window, cut):
     assert heads.count() > 500 and heads.agg(F.max(F.size("before"))).first()[0] == window
 
 
+def test_buckets_of_a_group_do_not_repeat_pairs(spark, monkeypatch):
+    """Texts of one group share many buckets; each pair is made and compared once."""
+    seen, write = [], near_dup.materialise
+    monkeypatch.setattr(near_dup, "materialise", lambda df, name: seen.append((name, write(df, name))) or seen[-1][1])
+    base = prose(5, 200).split(" ")
+    texts = [" ".join(f"{w}{k}" if i % 31 == k % 31 and i < 100 + k else w for i, w in enumerate(base)) for k in range(60)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(classes(texts)))
+    pairs = [{(bytes(r.a), bytes(r.b)) for r in df.collect()} for name, df in seen if name == "pairs"]
+    members = next(df for name, df in seen if name == "members")
+    assert members.count() > 5 * len(texts) and len(pairs) > 1 and all(pairs[:2]) and not pairs[0] & pairs[1]
+
+
 def test_copies_collapse_before_the_join(spark):
     rows = [("a", "copy")] * 300 + [("b", "other"), ("c", "copy of b")]
     df = spark.createDataFrame([(x.encode(), t) for x, t in rows], "digest binary, text string").repartition(3)
