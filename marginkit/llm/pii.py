@@ -36,7 +36,7 @@ copies and texts with many mentions cost one row per distinct mention.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -90,78 +90,91 @@ def _q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _hash_byte(i: str) -> str:
-    return f"cast(conv(substring(h, (({i}) - 1) % 64 * 2 + 1, 2), 16, 10) as int)"
+def _hash_byte(i) -> Column:
+    return F.conv(F.substring("h", (F.lit(i) - 1) % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _pick(chars: str, n: str) -> str:
-    return f"substring('{chars}', ({n}) % {len(chars)} + 1, 1)"
+def _pick(chars: str, n: Column) -> Column:
+    return F.substring(F.lit(chars), n % len(chars) + 1, F.lit(1))
 
 
-def _same_form(text: str, keep: str = "0") -> str:
+def _same_form(text: Column, keep: int = 0) -> Column:
     """Digits to digits, letters to letters of the same case and script; ASCII punctuation and
     the first ``keep`` stay. In proportion to the length: characters are split, not sought."""
-    r, latin = _hash_byte("(i + 1)"), "abcdefghijklmnopqrstuvwxyz"
-    script = " ".join(f"when c rlike '\\\\p{{{name}}}' then {_pick(letters, r)}" for name, letters in LETTERS.items())
-    letter = f"case {script} else {_pick(latin, r)} end"
-    return (f"array_join(transform(split({text}, ''), (c, i) -> case when i < {keep} then c "
-            f"when c between '0' and '9' then {_pick('0123456789', r)} "
-            f"when c between 'a' and 'z' then {_pick(latin, r)} "
-            f"when c between 'A' and 'Z' then {_pick(latin.upper(), r)} when ascii(c) < 128 then c "
-            f"when c rlike '\\\\p{{N}}' then {_pick('0123456789', r)} "
-            f"when c <> lower(c) then upper({letter}) else {letter} end), '')")
-
-
-def _luhn(body: str) -> str:
+    latin = "abcdefghijklmnopqrstuvwxyz"
+
+    def changed(c, i):
+        r = _hash_byte(i + 1)
+        letter = F
+        for name, letters in LETTERS.items():
+            letter = letter.when(c.rlike(rf"\p{{{name}}}"), _pick(letters, r))
+        letter = letter.otherwise(_pick(latin, r))
+        return (F.when(i < keep, c)
+                .when(c.between("0", "9"), _pick("0123456789", r))
+                .when(c.between("a", "z"), _pick(latin, r))
+                .when(c.between("A", "Z"), _pick(latin.upper(), r)).when(F.ascii(c) < 128, c)
+                .when(c.rlike(r"\p{N}"), _pick("0123456789", r))
+                .when(c != F.lower(c), F.upper(letter)).otherwise(letter))
+    return F.array_join(F.transform(F.split(text, ""), changed), "")
+
+
+def _luhn(body: Column) -> Column:
     """Check digit for a string of digits."""
-    d = f"cast(substring({body}, i, 1) as int)"
-    total = (f"aggregate(sequence(1, length({body})), 0, (a, i) -> a + case when (length({body}) - i) % 2 = 0 "
-             f"then {d} * 2 - if({d} > 4, 9, 0) else {d} end)")
-    return f"cast((10 - {total} % 10) % 10 as string)"
+    def add(a, i):
+        d = F.substring(body, i, F.lit(1)).cast("int")
+        return a + F.when((F.length(body) - i) % 2 == 0, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
+    total = F.aggregate(F.sequence(F.lit(1), F.length(body)), F.lit(0), add)
+    return ((10 - total % 10) % 10).cast("string")
 
 
-def _mod97(text: str) -> str:
-    c = f"substring({text}, i, 1)"
-    return (f"aggregate(sequence(1, length({text})), 0, (a, i) -> case when {c} between '0' and '9' "
-            f"then (a * 10 + cast({c} as int)) % 97 else (a * 100 + ascii({c}) - 55) % 97 end)")
+def _mod97(text: Column) -> Column:
+    def add(a, i):
+        c = F.substring(text, i, F.lit(1))
+        return F.when(c.between("0", "9"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
 
 
-def _syllables(script: str, kind: str) -> str:
-    parts = ", ".join(f"'{s}'" for s in SYLLABLES[script].split())
+def _syllables(script: str, kind: str) -> Column:
+    parts = F.array(*[F.lit(s) for s in SYLLABLES[script].split()])
     f, m, n, last = ENDINGS[script]
-    end = f"'{last}'" if kind == "surname" else f"case substring(type, 7, 1) when 'f' then '{f}' when 'm' then '{m}' else '{n}' end"
-    stem = f"array_join(transform(sequence(1, 2 + attempt), i -> element_at(array({parts}), {_hash_byte('i')} % 16 + 1)), '')"
-    return f"concat({stem}, {end})"
-
-
-def _surrogate() -> str:
-    """SQL of the surrogate of (type, entity) from the hash ``h``. Numbers without layout."""
-    octet = lambda k: f"cast({_hash_byte(str(k))} % 254 + 1 as string)"
-    part = lambda k: f"element_at(split(entity, '[.]'), {k})"
-    longer = f"greatest(attempt - {FREE_DRAWS}, 0)"
-    letters = f"substring(translate(h, '0123456789', 'ghijklmnop'), 1, {longer})"
-    digits = f"substring(translate(h, 'abcdef', '012345'), 65, {longer})"
-    card = f"concat(substring(entity, 1, 1), substring({_same_form('entity')}, 2, length(entity) - 2), {digits})"
-    body = f"concat({_same_form('substring(entity, 5)')}, {digits})"
-    hexes = (f"array_join(transform(sequence(1, length(entity)), i -> {_pick('0123456789abcdef', _hash_byte('i'))}), '')")
-    inside = f"attempt < {FREE_DRAWS}"
-    wide = f"attempt >= {2 * FREE_DRAWS}"
-    name = " ".join(f"when type like '{kind}%{script}' then {_syllables(script, kind)}" for kind in ("given", "surname") for script in SYLLABLES)
-    return f"""case
-      when type = 'email' then concat({_same_form("regexp_extract(entity, '^([^@]*)@', 1)")}, {letters}, '@', _domain, '.example')
-      when type = 'secret' and entity rlike '^[0-9a-f]+$' then concat({hexes}, substring(h, 65, {longer}))
-      when type = 'secret' then concat({_same_form('entity')}, {letters})
-      when type = 'aws' then {_same_form('entity', '4')}
-      when type = 'iban' then concat(substring(entity, 1, 2), lpad(cast(98 - {_mod97(f"concat({body}, substring(entity, 1, 2), '00')")} as string), 2, '0'), {body})
-      when type = 'phone' then concat(regexp_extract(entity, '^([0-9]*)[|]', 1), {_same_form("regexp_extract(entity, '[|]([0-9]*)$', 1)")}, {digits})
-      when type = 'ip' and attempt >= {3 * FREE_DRAWS} then concat('2001:db8:', array_join(transform(sequence(1, 6), i -> substring(h, i * 4 + 1, 4)), ':'))
-      when type = 'ip' then concat_ws('.', case when entity like '192.168.%' and {inside} then '192'
-           when (entity like '192.168.%' or {part(1)} = '10') and not {wide} then '10' when {part(1)} = '127' and not {wide} then '127' else cast(11 + {_hash_byte('1')} % 89 as string) end,
-           case when entity like '192.168.%' and {inside} then '168' else {octet(2)} end, {octet(3)}, {octet(4)})
-      when type = 'ssn' then concat({_same_form('entity')}, {digits})
-      when type = 'card' then concat({card}, case when {_luhn('substring(entity, 1, length(entity) - 1)')} = substring(entity, length(entity), 1)
-           then {_luhn(card)} else {_pick('0123456789', _hash_byte('60'))} end)
-      {name} end"""
+    gender = F.substring("type", 7, 1)
+    end = F.lit(last) if kind == "surname" else F.when(gender == "f", f).when(gender == "m", m).otherwise(n)
+    stem = F.transform(F.sequence(F.lit(1), F.col("attempt") + 2), lambda i: F.element_at(parts, _hash_byte(i) % 16 + 1))
+    return F.concat(F.array_join(stem, ""), end)
+
+
+def _surrogate() -> Column:
+    """The surrogate of (type, entity) from the hash ``h``. Numbers without layout. Built of
+    columns: as SQL text, the parser's cache of it took 90 MB of the driver for good."""
+    kind, entity, attempt, h = (F.col(c) for c in ("type", "entity", "attempt", "h"))
+    octet = lambda k: (_hash_byte(k) % 254 + 1).cast("string")
+    part = lambda k: F.element_at(F.split(entity, "[.]"), k)
+    longer = F.greatest(attempt - FREE_DRAWS, F.lit(0))
+    letters = F.substring(F.translate(h, "0123456789", "ghijklmnop"), F.lit(1), longer)
+    digits = F.substring(F.translate(h, "abcdef", "012345"), F.lit(65), longer)
+    card = F.concat(F.substring(entity, 1, 1), F.substring(_same_form(entity), F.lit(2), F.length(entity) - 2), digits)
+    body = F.concat(_same_form(F.substr(entity, F.lit(5))), digits)
+    country = F.substring(entity, 1, 2)
+    hexes = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), lambda i: _pick("0123456789abcdef", _hash_byte(i))), "")
+    private, inside, wide = entity.like("192.168.%"), attempt < FREE_DRAWS, attempt >= 2 * FREE_DRAWS
+    ipv6 = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.substring(h, i * 4 + 1, F.lit(4)))
+    first = (F.when(private & inside, "192").when((private | (part(1) == "10")) & ~wide, "10").when((part(1) == "127") & ~wide, "127")
+             .otherwise((_hash_byte(1) % 89 + 11).cast("string")))
+    good = _luhn(F.substring(entity, F.lit(1), F.length(entity) - 1)) == F.substring(entity, F.length(entity), F.lit(1))
+    out = (F.when(kind == "email", F.concat(_same_form(F.regexp_extract(entity, "^([^@]*)@", 1)), letters, F.lit("@"), "_domain", F.lit(".example")))
+           .when((kind == "secret") & entity.rlike("^[0-9a-f]+$"), F.concat(hexes, F.substring(h, F.lit(65), longer)))
+           .when(kind == "secret", F.concat(_same_form(entity), letters))
+           .when(kind == "aws", _same_form(entity, 4))
+           .when(kind == "iban", F.concat(country, F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body))
+           .when(kind == "phone", F.concat(F.regexp_extract(entity, "^([0-9]*)[|]", 1), _same_form(F.regexp_extract(entity, "[|]([0-9]*)$", 1)), digits))
+           .when((kind == "ip") & (attempt >= 3 * FREE_DRAWS), F.concat(F.lit("2001:db8:"), F.array_join(ipv6, ":")))
+           .when(kind == "ip", F.concat_ws(".", first, F.when(private & inside, "168").otherwise(octet(2)), octet(3), octet(4)))
+           .when(kind == "ssn", F.concat(_same_form(entity), digits))
+           .when(kind == "card", F.concat(card, F.when(good, _luhn(card)).otherwise(_pick("0123456789", _hash_byte(60))))))
+    for name in ("given", "surname"):
+        for script in SYLLABLES:
+            out = out.when(kind.like(f"{name}%{script}"), _syllables(script, name))
+    return out
 
 
 def _parts(found: DataFrame) -> DataFrame:
@@ -197,9 +210,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     site = F.expr("regexp_replace(regexp_extract(entity, '@(.*)$', 1), '[.][^.]*$', '')")
     state = entities.withColumn("attempt", F.lit(0))
     while True:
-        named = state.withColumn("h", domain).withColumn("_site", site).withColumn("_domain", F.expr(_same_form("_site")))
+        named = state.withColumn("h", domain).withColumn("_site", site).withColumn("_domain", _same_form(F.col("_site")))
         named = named.withColumn("h", F.sha2(F.concat_ws("|", F.lit(key), "type", "entity", F.col("attempt").cast("string")), 512))
-        named = materialise(named.select("type", "entity", "attempt", F.expr(_surrogate()).alias("surrogate")), "surrogates")
+        named = materialise(named.select("type", "entity", "attempt", _surrogate().alias("surrogate")), "surrogates")
         taken = F.when(F.col("type") == "phone", F.replace("entity", F.lit("|"))).otherwise(F.col("entity"))
         known = named.select("type", taken.alias("surrogate")).distinct().withColumn("_known", F.lit(True))
         first = (named.groupBy("type", "surrogate").agg(F.min("entity").alias("_first"), F.count(F.lit(1)).alias("_n"))

@@ -67,6 +67,16 @@ def test_collisions_are_drawn_anew(spark):
     assert len({r.surrogate for r in names}) == 3000
 
 
+def test_surrogates_parse_no_long_sql(spark, monkeypatch):
+    """The parser's cache of the surrogates' SQL text stayed in the driver, 90 MB."""
+    parsed, expr = [], F.expr
+    monkeypatch.setattr(F, "expr", lambda text: parsed.append(text) or expr(text))
+    rows = [("ip", "8.8.8.8"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("given:f:cyrillic", "анна"), ("phone", "1|3865553733")]
+    got = {r.type: r.surrogate for r in pii.surrogates(spark.createDataFrame(rows, "type string, entity string"), "k").collect()}
+    assert len(got) == 5 and all(got[t] and got[t] != e for t, e in rows) and luhn(got["card"]) % 10 == 0
+    assert all(len(text) < 1000 for text in parsed)
+
+
 def test_keys_and_empty_table(spark):
     df = spark.createDataFrame([(1, "8.8.8.8")], "doc_id long, text string")
     a, b, c = (pii.replace_pii(df, key=k).first().text for k in ("a", "b", "a"))
